@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -75,3 +76,9 @@ def append_columns(
                 )
 
     return source.mapInArrow(run, out)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle and checkpoint files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

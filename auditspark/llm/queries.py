@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fm_index, langid, secret_scan
+from . import ann, binpack, bpe, chat, fm_index, html_text, jaccard, langid, secret_scan, urlgraph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,37 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+URL_RULES = [
+    urlgraph.Rule("org", "/", "allow"),
+    urlgraph.Rule("example.org", "/es/", "block"),
+    urlgraph.Rule("example.org", "/en/1", "block"),
+    urlgraph.Rule("com", "/fr/", "allow"),
+    urlgraph.Rule("com", "/de/", "block"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = fm_index.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -71,12 +102,25 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = binpack.assign_shards(_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_bpe_codec": op2_bpe_codec,
+        "op3_chat_format": op3_chat_format,
+        "op4_url_filter": op4_url_filter,
+        "op5_html_text": op5_html_text,
+        "op6_nearest": op6_nearest,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_decontaminate": op8_decontaminate,
         "op9_secret_scan": op9_secret_scan,
+        "op10_shards": op10_shards,
     }
 
 
