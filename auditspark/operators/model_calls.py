@@ -1,0 +1,208 @@
+"""Checks by a language model: providers, prompts, calls from partitions, and responses as findings.
+
+Providers are injected; nothing here opens a connection by itself unless a URL provider is configured. Responses are
+parsed by JSON columns; a response that is no JSON falls back to sections of text, found by window functions.
+"""
+
+from __future__ import annotations
+
+import json
+import urllib.request
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import patterns as P
+from ..functions.text import explode_lines
+
+ISSUES = "struct<issues:array<struct<type:string,title:string,description:string,severity:string,line_number:int,confidence:double,suggestion:string,file:string,show_snippet:boolean>>>"
+
+
+class Provider(Protocol):
+    def analyze(self, prompt: str) -> str: ...
+
+    def available(self) -> bool: ...
+
+
+@dataclass(frozen=True)
+class StubProvider:
+    """Always gives the same response; for tests and dry runs."""
+
+    response: str = '{"issues": []}'
+
+    def analyze(self, prompt: str) -> str:
+        return self.response
+
+    def available(self) -> bool:
+        return True
+
+
+@dataclass(frozen=True)
+class HttpProvider:
+    """A chat-completions endpoint. `style` is openai (also other vendors' compatible URLs) or claude."""
+
+    url: str
+    model: str
+    api_key: str
+    style: str = "openai"
+    temperature: float = 0.1
+    max_tokens: int = 100_000
+    timeout: int = 60
+
+    def available(self) -> bool:
+        return usable_key(self.api_key)
+
+    def analyze(self, prompt: str) -> str:
+        body: dict = {"model": self.model, "max_tokens": self.max_tokens}
+        system = "You review source code and answer with JSON only."
+        if self.style == "claude":
+            body |= {"system": system, "temperature": min(1.0, self.temperature / 2), "messages": [{"role": "user", "content": prompt}]}
+            headers = {"x-api-key": self.api_key, "anthropic-version": "2023-06-01"}
+        else:
+            body |= {"temperature": self.temperature, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
+            headers = {"authorization": f"Bearer {self.api_key}"}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), headers | {"content-type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as r:
+            data = json.load(r)
+        return data["content"][0]["text"] if self.style == "claude" else data["choices"][0]["message"]["content"]
+
+
+# Public endpoints of the providers.
+ENDPOINTS = {
+    "openai": ("https://api.openai.com/v1/chat/completions", "openai"),
+    "google": ("https://generativelanguage.googleapis.com/v1beta/openai/chat/completions", "openai"),
+    "claude": ("https://api.anthropic.com/v1/messages", "claude"),
+}
+
+
+def usable_key(key: str) -> bool:
+    low = key.strip().lower()
+    return bool(low) and not any(x in low for x in ("your", "placeholder", "example", "changeme", "xxx")) and low not in ("test", "none", "null")
+
+
+def make_provider(name: str, model: str, api_key: str, base_url: str = "", **settings) -> Provider:
+    if name not in ENDPOINTS:
+        raise ValueError(f"unknown provider {name}")
+    url, style = ENDPOINTS[name]
+    return HttpProvider(base_url or url, model, api_key, style, **settings)
+
+
+# What each checker looks for, and what kinds of issue its answer may name.
+TASKS = {
+    "edge_cases": ("inputs that the code does not handle: missing values, empty collections, bounds, failed calls", "null_check, bounds_check, error_handling, security"),
+    "vibe_naming": ("names that say nothing or mislead, and naming that breaks the file's own conventions", "naming, style, convention"),
+    "comment_quality": ("comments and docstrings that are wrong, redundant or generic", "comment, docstring, redundant"),
+    "dangerous_ai_logic": ("unsafe use of models: executed output, unsafe loading, exposed keys, unchecked answers", "code_injection, unsafe_deserialization, api_key_exposed, prompt_injection"),
+}
+
+
+def prompt_for(checker: str, path: Column, content: Column, stacked: bool = False) -> Column:
+    look_for, kinds = TASKS[checker]
+    form = '{"issues": [{"type": "...", "title": "...", "description": "...", "severity": "low|medium|high|critical", "line_number": 1, "confidence": 0.8, "suggestion": "..."' + (', "file": "name.py"' if stacked else "") + "}]}"
+    head = f"Look for {look_for}. Kinds: {kinds}. Lines are numbered. Answer with JSON of this form only: {form}\n"
+    where = F.lit("Several files follow, each under its own header.\n") if stacked else F.concat(F.lit("File: "), path, F.lit("\n"))
+    return F.concat(F.lit(head), where, content)
+
+
+def call_model(prompts: DataFrame, provider: Provider, concurrency: int | None = None) -> DataFrame:
+    """prompts (key, prompt) with response and error. One client for each partition; `concurrency` bounds partitions.
+
+    Keys should be hashes of prompts, so that a repeated task repeats the same call. Errors become rows.
+    """
+    rows = prompts.repartition(concurrency, "key") if concurrency else prompts
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, prompt in zip(batch["key"], batch["prompt"], strict=True):
+                try:
+                    out.append((key, provider.analyze(prompt) if provider.available() else None, None))
+                except Exception as e:  # noqa: BLE001  a failed call is a result
+                    out.append((key, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["key", "response", "error"])
+
+    return rows.select("key", "prompt").mapInPandas(run, "key string, response string, error string")
+
+
+def unfenced(response: Column) -> Column:
+    """The response without a code fence around it."""
+    body = F.regexp_replace(response, r"^\s*```(?:json)?[ \t]*\n?", "")
+    return F.regexp_replace(body, r"\n?```\s*$", "")
+
+
+def parse_issues(responses: DataFrame) -> DataFrame:
+    """(key, checker, issue...) of responses (key, checker, response) that are JSON; items without a title are skipped."""
+    parsed = F.from_json(unfenced(F.col("response")), ISSUES)
+    rows = responses.select("key", "checker", F.posexplode(parsed["issues"]).alias("pos", "i"))
+    return rows.select("key", "checker", "pos", "i.*").where("title IS NOT NULL")
+
+
+# Severity and confidence where the model gives none.
+DEFAULT_SEVERITY = {"edge_cases": "medium", "dangerous_ai_logic": "medium", "vibe_naming": "low", "comment_quality": "low", "sql_injection": "medium"}
+DEFAULT_CONFIDENCE = {"edge_cases": 0.7, "vibe_naming": 0.7, "comment_quality": 0.7, "dangerous_ai_logic": 0.8, "sql_injection": 0.8}
+
+
+def _by_checker(table: dict) -> Column:
+    return F.coalesce(*[F.when(F.col("checker") == k, F.lit(v)) for k, v in table.items()])
+
+
+def issue_findings(issues: DataFrame) -> DataFrame:
+    """Issues with severity, type, confidence and line filled in where the model was silent or garbled."""
+    severity = F.lower(F.trim("severity"))
+    severity = F.when(severity.isin("critical", "high", "medium", "low", "info"), severity).otherwise(_by_checker(DEFAULT_SEVERITY))
+    kind = F.when((F.col("checker") == "dangerous_ai_logic") | (F.lower("type") == "security"), "security_issue").otherwise("bad_practice")
+    return issues.select(
+        "key", "checker", "pos", "title", F.coalesce("description", F.lit("")).alias("description"), severity.alias("severity"), kind.alias("finding_type"),
+        F.greatest(F.lit(1), F.coalesce("line_number", F.lit(1))).alias("line"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", _by_checker(DEFAULT_CONFIDENCE)))).alias("confidence"), "file",
+    )
+
+
+def text_sections(responses: DataFrame, checker: str) -> DataFrame:
+    """(path, section, title, line, description) of free text: a line with an opener begins a section, later lines join it.
+
+    The last `line N` of a section is its line.
+    """
+    rows = explode_lines(responses, ("path",), "response")
+    low, body = F.lower("text"), F.trim("text")
+    opens = F.lit(False)
+    for w in P.TEXT_OPENERS[checker]:
+        opens = opens | F.contains(low, F.lit(w))
+    order = Window.partitionBy("path").orderBy("line")
+    rows = rows.select("path", "line", body.alias("body"), low.alias("low"), opens.alias("opens")).where(F.col("body") != "")
+    rows = rows.withColumn("section", F.sum(F.col("opens").cast("int")).over(order)).where("section > 0")
+    named = F.regexp_extract("low", r"line\s+(\d+)", 1)
+    rows = rows.withColumn("named", F.when(named != "", named.cast("int")))
+    groups = rows.groupBy("path", "section").agg(
+        F.array_sort(F.collect_list(F.struct("line", "body"))).alias("b"), F.max(F.when(F.col("named").isNotNull(), F.struct("line", "named"))).alias("n")
+    )
+    texts = F.transform("b", lambda x: x["body"])
+    return groups.select("path", F.col("section").cast("int").alias("section"), F.element_at(texts, 1).alias("title"), F.coalesce("n.named", F.lit(1)).alias("line"), F.array_join(texts, " ").alias("description"))
+
+
+def route_stacked(issues: DataFrame, members: DataFrame) -> DataFrame:
+    """Issues of stacks (key, file, line) with the member (key, name, path) they name; others are dropped."""
+    return issues.join(members.withColumnRenamed("name", "file"), ["key", "file"])
+
+
+def first_per_line(findings: DataFrame) -> DataFrame:
+    """One finding for each (checker, path, line): the first in order of pos and title."""
+    order = Window.partitionBy("checker", "path", "line").orderBy("pos", "title")
+    return findings.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+
+
+def second_opinion_prompts(findings: DataFrame, files: DataFrame, around: int = 5) -> DataFrame:
+    """(key, prompt) for SQL findings (path, line): a window of lines around each."""
+    from ..functions.text import lines, numbered
+
+    rows = findings.join(files.select("path", lines(F.col("content")).alias("l")), "path")
+    first = F.greatest(F.lit(1), F.col("line") - around)
+    part = F.slice("l", first, F.least(F.size("l"), F.col("line") + around) - first + 1)
+    prompt = F.concat(F.lit("Is the SQL in these lines open to injection? Answer with JSON of issues.\n"), numbered(part, first))
+    return rows.select(F.sha2(F.concat_ws(":", "path", "line", prompt), 256).alias("key"), "path", "line", prompt.alias("prompt"))
+
+
