@@ -1,12 +1,11 @@
 """Benchmark decontamination by an FM-index per training shard.
 
-A shard is a run of consecutive rows of one task. Its words become one integer sequence; an FM-index over it
-(suffix array by prefix doubling, Burrows-Wheeler sequence in a wavelet tree, suffix positions sampled at every
-eighth place) answers all benchmark windows at once by backward search; occurrences are located by walking to
-sampled positions, and the spans of a document are merged. Before a shard is indexed, stretches of words that
-cannot hold any window are left out: a word inside an occurrence has, with its neighbour in it, a word pair of the
-benchmark, and belongs to a stretch of such pairs at least as long as the shortest window. This keeps every
-occurrence and makes the index small; texts themselves are always read whole.
+A shard is a run of consecutive rows of one task. Its words become one integer sequence; an FM-index over the whole
+of it (suffix array by prefix doubling of what is not yet told apart, Burrows-Wheeler sequence in a wavelet tree,
+suffix positions sampled at every eighth place) answers all benchmark windows at once by backward search; occurrences
+are located by walking to sampled positions, and the spans of a document are merged. A word that no item holds, and
+the gap between two documents, is a symbol of its own at every place: it can be part of no window, ends all ties in
+the sorting, and is where a walk ends too (suffixes after such a word are sampled).
 
 The benchmark is searched in blocks of at most `block_bytes` of text, so the part held by a worker is bounded
 whatever the benchmark's size.
@@ -64,34 +63,48 @@ class WaveletTree:
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Of a sequence of non-negative numbers, by prefix doubling; a suffix that is a prefix of another sorts first."""
+    """Of a sequence of numbers, by prefix doubling; a suffix that is a prefix of another sorts first.
+
+    A rank is the place of the first of equals, so only suffixes that still share one are sorted again.
+    """
     n = len(seq)
-    _, rank = np.unique(seq, return_inverse=True)
-    rank, step = rank.astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank = new
-        if rank[order[-1]] == n - 1 or (step := step * 2) >= n:
-            return order
+    order = np.argsort(seq, kind="stable")
+    ordered = seq[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    shared = ~(new & np.append(new[1:], True))
+    open_, step = order[shared], 1
+    while len(open_):
+        after = open_ + step
+        second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
+        at = np.lexsort((second, rank[open_]))
+        open_, second = open_[at], second[at]
+        first = rank[open_]
+        group = np.concatenate(([True], first[1:] != first[:-1]))
+        equal = np.concatenate(([True], group[1:] | (second[1:] != second[:-1])))
+        place = np.arange(len(open_))
+        start = np.maximum.accumulate(np.where(group, place, 0))
+        rank[open_] = first + np.maximum.accumulate(np.where(equal, place, 0)) - start
+        open_ = open_[~(equal & np.append(equal[1:], True))]
+        step *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 class FMIndex:
-    """Index of a sequence of symbols from 1 up; 0 ends it."""
+    """Index of a sequence of word numbers from 1 to `top`; 0 is any other word, equal to nothing."""
 
-    def __init__(self, seq: np.ndarray):
-        text = np.append(seq, 0)
+    def __init__(self, seq: np.ndarray, top: int):
+        other = seq == 0
+        text = np.append(np.where(other, top + 1 + np.arange(len(seq)), seq), 0)
         sa = suffix_array(text)
-        self.size, top = len(text), int(text.max()) + 1
-        bwt = text[sa - 1]
-        self.bwt, self.tree = bwt, WaveletTree(bwt, max(1, int(top).bit_length()))
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=top))))
-        self.top = top
-        self.sampled = sa % SAMPLE == 0
+        self.size, self.top = len(text), top
+        self.bwt = np.minimum(text[sa - 1], top + 1)
+        self.tree = WaveletTree(self.bwt, (top + 1).bit_length())
+        self.before = np.concatenate(([0], np.cumsum(np.bincount(np.minimum(text, top + 1), minlength=top + 2))))
+        self.sampled = (sa % SAMPLE == 0) | (self.bwt > top)
         self.sample_at = np.cumsum(self.sampled) - 1
         self.samples = sa[self.sampled]
 
@@ -102,7 +115,7 @@ class FMIndex:
         for back in range(1, patterns.shape[1] + 1):
             live = live[(lengths[live] >= back) & (lo[live] < hi[live])]
             c = patterns[live, -back]
-            known = c < self.top
+            known = (c > 0) & (c <= self.top)
             hi[live[~known]] = lo[live[~known]]
             live, c = live[known], c[known]
             first = self.before[c]
@@ -138,50 +151,20 @@ class Windows:
         self.rows = np.zeros((len(rows), size), np.int64)
         for k, r in enumerate(rows):
             self.rows[k, size - len(r) :] = r
-        self.shortest = int(self.lengths.min()) if rows else 0
-        base = len(self.vocabulary) + 1
-        pairs = {r[i] * base + r[i + 1] for r in rows for i in range(len(r) - 1)}
-        self.base, self.pairs = base, np.array(sorted(pairs) or [-1], np.int64)
-        self.single = np.zeros(base, bool)
-        self.single[[r[0] for r in rows if len(r) == 1]] = True
 
     def __len__(self) -> int:
         return len(self.items)
 
     def occurrences(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, window number) of every occurrence in a shard's word numbers (0: a word of no item, or a gap)."""
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
-        if not len(self) or len(seq) < self.shortest:
-            return none
-        code = seq[:-1] * self.base + seq[1:]
-        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        linked = (self.pairs[at] == code) & (seq[:-1] > 0) & (seq[1:] > 0)
-        keep = self.single[seq]
-        keep[:-1] |= linked
-        keep[1:] |= linked
-        # stretches: kept words whose neighbours are linked
-        starts = keep.copy()
-        starts[1:] &= ~linked
-        first = np.flatnonzero(starts)
-        number = np.cumsum(starts) - 1
-        kept = np.flatnonzero(keep)
-        length = np.bincount(number[kept], minlength=len(first))
-        good = length >= self.shortest
-        kept = kept[good[number[kept]]]
-        if not len(kept):
-            return none
-        gap = starts[kept]
-        place = np.arange(len(kept)) + np.cumsum(gap)  # one separator before every stretch
-        text = np.ones(int(place[-1]) + 1, np.int64)
-        text[place] = seq[kept] + 1
-        origin = np.zeros(len(text), np.int64)
-        origin[place] = kept
-        index = FMIndex(text)
-        lo, hi = index.find(np.where(self.rows > 0, self.rows + 1, 0), self.lengths)
+        if not len(self):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        index = FMIndex(seq, len(self.vocabulary))
+        lo, hi = index.find(self.rows, self.lengths)
         count = hi - lo
         window = np.repeat(np.arange(len(count)), count)
         rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        return origin[index.locate(rows)], window
+        return index.locate(rows), window
 
 
 def judge(texts: list[str | None], windows: Windows) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:

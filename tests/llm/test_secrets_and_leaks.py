@@ -97,11 +97,12 @@ def test_suffix_array_and_ranks():
 
     rng = np.random.default_rng(3)
     for n in (1, 2, 50, 300):
-        s = rng.integers(1, 5, n)
-        index = fm_index.FMIndex(s)
+        s = rng.integers(0, 5, n)
+        assert fm_index.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+        index = fm_index.FMIndex(s, 5)
         text = s.tolist()
         for size in (1, 2, 3, 7):
-            pats = rng.integers(1, 6, (20, size))
+            pats = rng.integers(1, 7, (20, size))
             lo, hi = index.find(pats, np.full(20, size))
             for p, a, b in zip(pats.tolist(), lo, hi, strict=True):
                 want = [i for i in range(n - size + 1) if text[i : i + size] == p]
