@@ -134,6 +134,11 @@ def unfenced(response: Column) -> Column:
     return F.regexp_replace(body, r"\n?```\s*$", "")
 
 
+def is_json(response: Column) -> Column:
+    """The response holds a list of issues."""
+    return F.coalesce(F.from_json(unfenced(response), ISSUES)["issues"].isNotNull(), F.lit(False))
+
+
 def parse_issues(responses: DataFrame) -> DataFrame:
     """(key, checker, issue...) of responses (key, checker, response) that are JSON; items without a title are skipped."""
     parsed = F.from_json(unfenced(F.col("response")), ISSUES)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, selected_checkers
-from ..functions.text import lines, snippet
+from ..functions.text import lines, numbered, quoted_key, snippet
 from ..operators import ast_rules, chunking, findings, manifests, model_calls, regex_rules
+from ..operators.model_calls import prompt_for
+from ..operators.plugins import Checker, run_checkers
 from ..schema import confidence
-from ..sources.files import read_files
+from ..sources.files import read_files, route
 
 
 def classical_findings(spark: SparkSession, files: DataFrame, checkers: list[str], known_packages: DataFrame | None = None) -> DataFrame:
@@ -48,29 +50,78 @@ def classical_findings(spark: SparkSession, files: DataFrame, checkers: list[str
     return findings.union(spark, *parts)
 
 
+def _prompts(files: DataFrame, checker: str, config: Config) -> DataFrame:
+    """(key, prompt, line_map) for the chunks of large files and the stacks of small ones.
+
+    line_map gives the file line of each line of the chunk: answers speak of lines as they were shown.
+    """
+    c, place = config.chunking, "array<struct<path:string,line:int>>"
+    routed = route(files, c.max_chunk_lines, c.stack_threshold)
+    single = routed.where("route = 'single'") if c.stack_small_files else routed
+    cut = chunking.file_chunks if c.use_ast_boundaries else chunking.line_chunks
+    chunks = cut(single, c.max_chunk_lines)
+    several = F.count("*").over(Window.partitionBy("path")) > 1
+    shown = F.when(several, numbered(lines(F.col("content")), F.col("start_line"))).otherwise(F.col("content"))
+    # the numbers shown are the file's own, so the map is the file's lines from the first
+    own = F.transform(F.sequence(F.lit(1), F.greatest(F.col("end_line"), F.lit(1))), lambda i: F.struct(F.col("path").alias("path"), i.alias("line")))
+    out = chunks.select(prompt_for(checker, F.col("path"), shown).alias("prompt"), own.cast(place).alias("line_map"))
+    if c.stack_small_files:
+        stacks = chunking.stack_files(routed.where("route = 'batch'"), c.max_chunk_lines, c.stack_threshold)
+        body = prompt_for(checker, F.lit(""), numbered(lines(F.col("content"))), stacked=True)
+        out = out.unionByName(stacks.select(body.alias("prompt"), F.col("line_map").cast(place).alias("line_map")))
+    return out.withColumn("key", F.sha2(F.concat_ws(":", F.lit(checker), F.to_json("line_map"), "prompt"), 256))
+
+
+def _placed(issues: DataFrame, prompts: DataFrame) -> DataFrame:
+    """issues (key, line, file) with the path and line that the chunk's map gives; a named file must be in the chunk."""
+    rows = issues.join(prompts.select("key", "line_map"), "key")
+    name = lambda x: F.element_at(F.split(x["path"], "/"), -1)
+    at = F.get("line_map", F.col("line") - 1)
+    fits = F.col("file").isNull() | (F.element_at(F.split(at["path"], "/"), -1) == F.col("file"))
+    by_name = F.get(F.filter("line_map", lambda x: (x["line"] > 0) & (name(x) == F.col("file"))), F.lit(0))
+    nearest = F.get(F.filter("line_map", lambda x: x["line"] > 0), F.lit(0))
+    place = F.when(fits & (at["line"] > 0), at).when(F.col("file").isNotNull(), by_name).otherwise(nearest)
+    return rows.withColumn("place", place).where("place IS NOT NULL").withColumn("path", F.col("place.path")).withColumn("line", F.col("place.line")).drop("place", "line_map")
+
+
 def model_findings(spark: SparkSession, files: DataFrame, checkers: list[str], provider: model_calls.Provider, config: Config) -> DataFrame:
-    """Findings of the model-backed checkers, one prompt for each chunk that passes the checker's gate."""
+    """Findings of the model-backed checkers: one call for each chunk or stack of files that pass the checker's gate.
+
+    An answer that is no JSON is read as sections of text, or, for dangerous_ai_logic, replaced by the line rules.
+    """
     gates = {
         "edge_cases": regex_rules.has_code(F.col("content")), "comment_quality": regex_rules.has_comments(F.col("content")),
         "dangerous_ai_logic": regex_rules.uses_ai(F.col("content")), "vibe_naming": F.lit(True),
     }
     parts = []
     for checker in (c for c in checkers if c in gates and provider.available()):
-        chunks = chunking.file_chunks(files.where(F.col("ext") == ".py").where(gates[checker]), config.chunking.max_chunk_lines)
-        prompts = chunks.withColumn("prompt", model_calls.prompt_for(checker, F.col("path"), F.col("content"))).withColumn("key", F.sha2(F.concat_ws(":", "path", "chunk", "prompt"), 256))
+        passing = files.where(F.col("ext") == ".py").where(gates[checker])
+        prompts = _prompts(passing, checker, config)
         answers = model_calls.call_model(prompts, provider, config.chunking.max_parallel_requests)
-        rows = answers.where("response IS NOT NULL").join(prompts.select("key", "path", "start_line"), "key").withColumn("checker", F.lit(checker))
-        issues = model_calls.issue_findings(model_calls.parse_issues(rows)).join(rows.select("key", "path"), "key")
-        once = model_calls.first_per_line(issues)
+        answers = answers.where("response IS NOT NULL").withColumn("checker", F.lit(checker)).persist()
+        issues = model_calls.issue_findings(model_calls.parse_issues(answers))
+        columns = ["key", "checker", "pos", "title", "severity", "finding_type", "line", "confidence", "file"]
+        issues = issues.select(columns)
+        if checker in model_calls.P.TEXT_OPENERS:
+            other = answers.where(~model_calls.is_json(F.col("response"))).select(F.col("key").alias("path"), "response")
+            text = model_calls.text_sections(other, checker).select(
+                F.col("path").alias("key"), F.lit(checker).alias("checker"), F.col("section").alias("pos"), "title",
+                F.lit(model_calls.DEFAULT_SEVERITY[checker]).alias("severity"), F.lit("bad_practice").alias("finding_type"), "line", F.lit(0.6).alias("confidence"), F.lit(None).cast("string").alias("file"),
+            )
+            issues = issues.unionByName(text)
+        found = _placed(issues, prompts).withColumn("fid", F.concat_ws(":", "key", "pos", "title"))
+        moved = regex_rules.nearest_lines(found.select("path", "fid", "line", quoted_key(F.col("title")).alias("key")), files)
+        found = found.drop("line").join(moved, ["path", "fid"])
+        once = model_calls.first_per_line(found)
         parts.append(findings.as_findings(once, F.col("checker"), F.col("title"), F.col("severity"), F.col("finding_type"), F.col("confidence")))
     return findings.union(spark, *parts)
 
 
-def audit(spark: SparkSession, files: DataFrame, config: Config | None = None, provider: model_calls.Provider | None = None, known_packages: DataFrame | None = None) -> DataFrame:
+def audit(spark: SparkSession, files: DataFrame, config: Config | None = None, provider: model_calls.Provider | None = None, known_packages: DataFrame | None = None, plugins: tuple[Checker, ...] = ()) -> DataFrame:
     """Findings of files (path, name, ext, dir, content), repeats removed, each with its code around it."""
     config = config or Config()
     checkers = selected_checkers(config)
-    rows = classical_findings(spark, files, checkers, known_packages)
+    rows = classical_findings(spark, files, checkers, known_packages).unionByName(run_checkers(spark, files, plugins))
     if provider is not None and not config.checkers.classical_only:
         rows = rows.unionByName(model_findings(spark, files, checkers, provider, config))
     kept = findings.drop_repeats(rows, confidence=confidence(F.col("evidence")))

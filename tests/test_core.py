@@ -222,3 +222,30 @@ def test_report_rows(spark):
     assert ("Other Issues", 4) in rows(report.with_category(spark, df), "category", "priority")
     assert dict(rows(report.triage(spark, df), "severity", "n"))["critical"] == 0
     assert report.has_issues(df) and not report.has_issues(df.where("false"))
+
+
+def test_model_checks_of_stacked_and_chunked_files(spark):
+    large = "\n".join(f"name_{i} = {i}" for i in range(300))
+    df = frame(spark, ("d/a.py", "x = 1\ny = 2\n"), ("d/b.py", "z = 3\n"), ("d/big.py", large))
+
+    class Answers:
+        def available(self):
+            return True
+
+        def analyze(self, prompt):
+            if "Several files" in prompt:  # a.py's header is line 1, a gap line 4, b.py's header line 5
+                return '{"issues": [{"title": "in a", "line_number": 3, "file": "a.py"}, {"title": "in b", "line_number": 6}, {"title": "lost", "line_number": 2, "file": "none.py"}]}'
+            return "Name: poor 'name_280'\nsee line 279\n"
+
+    rows_ = scan.model_findings(spark, df, ["vibe_naming"], Answers(), config.Config())
+    assert rows(rows_, "path", "line_start", "title") == [("d/a.py", 2, "in a"), ("d/b.py", 1, "in b"), ("d/big.py", 281, "Name: poor 'name_280'")]
+
+
+def test_plugins(spark):
+    from auditspark.operators import plugins
+
+    mine = plugins.Checker("own", "a tab", rule=lambda t: F.contains(t, F.lit("\t")), check=lambda p, c: [(1, "long", "low", "code_smell", 0.5)] if len(c) > 5 else [])
+    df = frame(spark, ("a.py", "x\n\ty = 1"), ("b.txt", "\t"))
+    got = rows(scan.audit(spark, df, plugins=(mine,)).where("checker = 'own'"), "path", "line_start", "title", "severity")
+    assert got == [("a.py", 1, "long", "low"), ("a.py", 2, "a tab", "medium")]
+    assert plugins.describe(spark, [mine]).count() == 1
