@@ -45,8 +45,10 @@ LIST_PAIRS = 64
 #: Shares of n by which m grows from round to round.
 ROUNDS = (0.0, 0.25, 0.75)
 POSTINGS_PER_BUCKET = 1_000_000
-FLUSH = 2_000_000
+FLUSH = 500_000
 BLOCK = 512
+#: Ids of texts to verify are broadcast up to so many (16 bytes each), else they meet the texts in a shuffle.
+BROADCAST_ROWS = 50_000
 _SEEDS = mix(np.arange(1, ORDERS + 1, dtype=np.uint64))
 
 
@@ -118,27 +120,51 @@ def _may_link(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
-    """The text of one row of each class: its smallest id's (all rows of that id if ids repeat; keys are checked later)."""
+def _among(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows whose id is the first of one of the classes; all rows if these are too many to send out.
+
+    classes must be materialised: they are counted, and broadcast only up to BROADCAST_ROWS ids.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = classes.select(F.col("id").alias("first"), "key", *extra)
-    return rows.join(wanted, rows["id"].eqNullSafe(wanted["first"])).drop("id", "first")
+    if classes.count() > BROADCAST_ROWS:
+        return rows
+    wanted = F.broadcast(classes.select(F.col("id").alias("first")).distinct())
+    return rows.join(wanted, rows["id"].eqNullSafe(wanted["first"]), "left_semi")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, t: int) -> DataFrame:
-    """The pairs that reach the threshold, from the exact sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = _texts(docs, classes.join(needed, "key"), id_col, text_col, [])
+def _matched(rows: DataFrame, classes: DataFrame, extra: list[str]) -> DataFrame:
+    """rows (id, key, ...) that stand for their class: those of its smallest id."""
+    wanted = classes.select(F.col("id").alias("first"), F.col("key").alias("class"), *extra)
+    return rows.join(wanted, (rows["key"] == wanted["class"]) & rows["id"].eqNullSafe(wanted["first"])).drop("class", "first", "id")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _hashed(rows: DataFrame, words: int, t: int, share: float | None) -> DataFrame:
+    """(id, key, s): fingerprints of each text as bytes; all of 64 bits, or with `share` the prefix's upper 48 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            for part, texts in slices(batch, "text"):
-                keys = part.column(part.schema.get_field_index("key")).to_pylist()
-                found = [(k, s.tobytes()) for k, s in zip(keys, shingler.sets(texts), strict=True) if len(s) and _key(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["key", "s"])
+            for part, found in slices(batch, "text"):
+                ids, keys, data = part.column(0).to_pylist(), [], []
+                own = []
+                for k, s in zip(ids, shingler.sets(found), strict=True):
+                    if n := len(s):
+                        own.append(k)
+                        keys.append(_key(s))
+                        if share is None:
+                            data.append(s.tobytes())
+                        else:
+                            p = min(n, n - int(_required(n, t)) + int(_matches(np.array([n]), share, t)[0]))
+                            data.append((s[:p] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["id", "key", "s"])
+
+    return rows.mapInArrow(run, "id long, key long, s binary")
+
 
-    sets = texts.mapInArrow(hashed, "key long, s binary").dropDuplicates(["key"])
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, t: int) -> DataFrame:
+    """The pairs that reach the threshold, from the exact sets."""
+    needed = cut(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("key", "id"))
+    sets = _matched(_hashed(_among(docs, needed, id_col, text_col), words, t, None), needed, []).dropDuplicates(["key"])
     # the side that is a centre of many comes last, as one row that a split join can repeat
     loads = pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("load"))
     weighed = pairs.join(loads.toDF("a", "load_a"), "a").join(loads.toDF("b", "load_b"), "b")
@@ -164,38 +190,40 @@ def _matches(n: np.ndarray, share: float, t: int) -> np.ndarray:
     return np.maximum(1, np.ceil(share * n).astype(np.int64))
 
 
-def _postings(texts: DataFrame, share: float, t: int, words: int, buckets: int) -> DataFrame:
-    """Packed postings (bucket, kind, tokens, owners, table) of the prefixes.
+def _postings(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """Packed postings (bucket, kind, tokens, owners, table) of prefixes (key, component, n, s).
 
     kind 0: 48-bit tokens, their owners as indexes into a table (key, component, n). kind 1: in `table`, keys and the
     number of their shingles already known to be costly (in this task's own lists).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, owners, count = Shingler(words), [], [], 0
+        held, owners, count = [], [], 0
         for batch in batches:
-            for part, found in slices(batch, "text"):
-                meta = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("key", "component")]
-                for key, comp, s in zip(*meta, shingler.sets(found), strict=True):
-                    n = len(s)
-                    if not n or _key(s) != key:
-                        continue
-                    p = min(n, n - int(_required(n, t)) + int(_matches(np.array([n]), share, t)[0]))
-                    held.append(s[:p])
-                    owners.append((key, comp, n))
-                    count += p
+            for key, comp, n, s in zip(*(batch.column(i) for i in range(4)), strict=True):
+                held.append(_wide(s.as_buffer()))
+                owners.append((key.as_py(), comp.as_py(), n.as_py()))
+                count += len(held[-1])
                 if count >= FLUSH:
                     yield from _packed(held, owners, buckets)
                     held, owners, count = [], [], 0
         if held:
             yield from _packed(held, owners, buckets)
 
-    return texts.select("text", "key", "component").mapInArrow(run, "bucket int, kind int, tokens binary, owners binary, table binary")
+    return prefixes.select("key", "component", "n", "s").mapInArrow(run, "bucket int, kind int, tokens binary, owners binary, table binary")
+
+
+def _wide(buffer) -> np.ndarray:
+    """48-bit numbers from six bytes each."""
+    raw = np.frombuffer(buffer, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view(np.uint64).ravel()
 
 
 def _packed(held: list[np.ndarray], owners: list[tuple[int, int, int]], buckets: int) -> Iterator[pa.RecordBatch]:
     table = np.array(owners, np.int64)
-    tokens = np.concatenate(held) >> np.uint64(16)
+    tokens = np.concatenate(held)
     who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h) for h in held])
     # a list that is costly here alone sends on just what proves it
     order = np.argsort(tokens, kind="stable")
@@ -241,10 +269,7 @@ def _expand(t: int):
                 if kind.as_py():
                     hot_rows.append(data.reshape(-1, 2))
                     continue
-                raw = np.frombuffer(tok.as_buffer(), np.uint8).reshape(-1, 6)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :6] = raw
-                tokens.append(wide.view(np.uint64).ravel())
+                tokens.append(_wide(tok.as_buffer()))
                 who.append(np.frombuffer(own.as_buffer(), np.uint32).astype(np.int64) + base)
                 tables.append(data.reshape(-1, 3))
                 base += len(tables[-1])
@@ -363,14 +388,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not total:
             break
         buckets = max(parallel, -(-int(total) // POSTINGS_PER_BUCKET))
-        texts = _texts(docs, active, id_col, text_col, ["component"])
-        posted = _postings(texts, share, threshold, words, buckets).repartition(buckets, "bucket")
+        # the first rounds take most classes: prefixes, not texts, meet the classes in a shuffle
+        rows = _among(docs, active, id_col, text_col) if share > 0.5 else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        posted = _postings(_matched(_hashed(rows, words, threshold, share), active, ["component", "n"]), buckets).repartition(buckets, "bucket")
         out = cut(posted.groupBy("bucket").applyInArrow(_expand(threshold), "kind int, a long, b long"))
+        del rows, posted  # what these frames shuffled can go
         found.append(out.where("kind = 0").select("a", "b"))
         costly = out.where("kind = 1").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("costly"))
         # the least m of any partner, whose size may be threshold / 100 of this one's
         least = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.ceil(F.col("n") * threshold / 100)))
         active = cut(active.join(costly, "key").where(F.col("costly") >= least).drop("costly"))
+        del costly
         release(spark)
     if not active.isEmpty():
         found.append(_block_pairs(labelled.join(active.select("key"), "key", "left_semi"), threshold))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 SHINGLE_WORDS = 5
+#: Bytes of text whose sums are held at once (about forty bytes of memory for each), beyond one text.
+AT_ONCE = 1 << 19
 _WHITE = {0x20, *range(0x09, 0x0E)}
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in _WHITE else b for b in range(256))
 #: Fixed odd multipliers of the two polynomials.
@@ -40,7 +42,16 @@ class Shingler:
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """Of each text the sorted distinct fingerprints; with fewer words than a shingle one for all, without words none."""
-        data = [(t or "").encode("utf-8", "surrogatepass").translate(_TABLE) + b" " for t in texts]
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append((t or "").encode("utf-8", "surrogatepass").translate(_TABLE) + b" ")
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                out += self._sets(held)
+                held, size = [], 0
+        return out + self._sets(held) if held else out
+
+    def _sets(self, data: list[bytes]) -> list[np.ndarray]:
         raw = np.frombuffer(b" " + b"".join(data), np.uint8)
         self._powers(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, np.uint64)
