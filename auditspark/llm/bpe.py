@@ -23,7 +23,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,8 @@ CACHE_WORDS = 400_000
 #: Texts of code points below this are composed already and pre-tokenised alike in all Unicode versions.
 PLAIN_BELOW = 0x300
 
-#: One pre-token: start and end in the raw text, ids, symbols of each token.
-Piece = tuple[int, int, tuple[int, ...], tuple[str, ...]]
+#: One pre-token: start and end in the raw text, packed ids, tokens joined by a space.
+Piece = tuple[int, int, bytes, str]
 
 
 def _byte_symbols() -> list[str]:
@@ -116,17 +116,19 @@ class TreeEncoder:
 
     def pieces(self, text: str) -> list[Piece]:
         """Pre-tokens of a short text without special tokens."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
         if not self.beyond.search(text):
-            return [(m.start(), m.end(), *self.word(m[0])) for m in self.plain.finditer(text.lower())]
+            return [(m.start(), m.end(), *self.words[m[0]]) for m in self.plain.finditer(text.lower())]
         e = self.library.encode(text, add_special_tokens=False)
         out: list[Piece] = []
         last = None
-        for i, (token, word, (s, t)) in enumerate(zip(e.tokens, e.word_ids, e.offsets, strict=True)):
+        for i, token, word, (s, t) in zip(e.ids, e.tokens, e.word_ids, e.offsets, strict=True):
             if word == last:
                 a, b, ids, tokens = out[-1]
-                out[-1] = (a, max(b, t), (*ids, e.ids[i]), (*tokens, token))
+                out[-1] = (a, max(b, t), ids + _pack((i,)), f"{tokens} {token}")
             else:
-                out.append((s, t, (e.ids[i],), (token,)))
+                out.append((s, t, _pack((i,)), token))
             last = word
         return out
 
@@ -139,25 +141,25 @@ class TreeEncoder:
 
     def join(self, text: str, left: list[Piece], right: list[Piece], mid: int) -> list[Piece]:
         """Pre-tokens of text from those of its parts before and after mid (the latter counted from mid)."""
-        right = [(s + mid, e + mid, i, t) for s, e, i, t in right]
         k = 4
         while True:
             whole_left, whole_right = k >= len(left), k >= len(right)
             start = 0 if whole_left else left[-k][0]
-            stop = len(text) if whole_right else right[k - 1][1]
-            window = [(s + start, e + start, i, t) for s, e, i, t in self.pieces_of_window(text[start:stop])]
+            stop = len(text) if whole_right else right[k - 1][1] + mid
+            window = [(s + start, e + start, i, t) for s, e, i, t in self.pieces(text[start:stop])]
             good = whole_left or self._stands(text, window[0], left[-k], window[0][1] + 3 < mid)
-            if good and (whole_right or self._stands(text, window[-1], right[k - 1], right[k - 1][0] > mid)):
-                return [*left[:-k], *window, *right[k:]] if not whole_left else [*window, *right[k:]]
+            if good and not whole_right:
+                a, b, ids, shown = right[k - 1]
+                good = self._stands(text, window[-1], (a + mid, b + mid, ids, shown), a > 0)
+            if good:
+                rest = [(s + mid, e + mid, i, t) for s, e, i, t in right[k:]]
+                return [*window, *rest] if whole_left else [*left[:-k], *window, *rest]
             k *= 2
 
-    def pieces_of_window(self, text: str) -> list[Piece]:
-        return self.pieces(text)
-
     @staticmethod
     def _stands(text: str, new: Piece, old: Piece, clear: bool) -> bool:
         """A pre-token is the same in both views, clear of the join, and does not compose with what precedes it."""
-        return clear and new == old and text[old[0]].isascii()
+        return clear and new == old and (text[old[0]].isascii() or text[old[0] - 1 : old[0]].isspace())
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
@@ -217,7 +219,7 @@ def _pack(ids) -> bytes:
 
 
 def _flat(pieces: list[Piece]) -> tuple[bytes, str]:
-    return b"".join(_pack(p[2]) for p in pieces), " ".join(" ".join(p[3]) for p in pieces)
+    return b"".join([p[2] for p in pieces]), " ".join([p[3] for p in pieces])
 
 
 FIELDS = [
@@ -253,7 +255,7 @@ def encode_documents(
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = _leaves(marked, text_col, key, leaf_chars).repartition(n, key, "leaf")
     encoded = _encode_leaves(leaves, path, leaf_chars)
-    merged = encoded.groupBy(key).applyInPandas(_joiner(path, leaf_chars), f"{key} string, n_tokens long, ids binary, decoded string")
+    merged = encoded.groupBy(key).applyInArrow(_joiner(path, leaf_chars), f"{key} string, n_tokens long, ids binary, decoded string")
     long = marked.join(merged, key).drop(key)
     return short.unionByName(long)
 
@@ -292,44 +294,55 @@ def leaf_cuts(text: str, size: int, guard: int = 32) -> list[int]:
 
 
 def _encode_leaves(leaves: DataFrame, path: str, leaf_chars: int) -> DataFrame:
-    """Adds the pieces of each leaf: bounds (start, end pairs), number of tokens of each, and all tokens."""
+    """Adds each leaf's pieces: places (start, end and number of tokens of each, 32 bits), all ids, and all tokens.
+
+    A leaf with special tokens has no pieces; its document is encoded from its whole text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TreeEncoder(path, leaf_chars)
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                sides = [encoder.pieces(t) if not encoder.at_special.search(t) else None for t in texts]
-                packed = [None if p is None else json.dumps([[a, b, len(i), " ".join(w)] for a, b, i, w in p], ensure_ascii=False) for p in sides]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, type=pa.string())], names=[*part.schema.names, "pieces"])
+                columns: tuple[list, list, list] = [], [], []
+                for t in texts:
+                    pieces = None if encoder.at_special.search(t) else encoder.pieces(t)
+                    columns[0].append(None if pieces is None else np.array([(a, b, len(i) // 4) for a, b, i, _ in pieces], np.uint32).tobytes())
+                    columns[1].append(None if pieces is None else b"".join([p[2] for p in pieces]))
+                    columns[2].append(None if pieces is None else "\n".join([p[3] for p in pieces]))
+                new = [pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "places", "ids", "shown"])
+
+    added = [T.StructField("places", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("shown", T.StringType())]
+    return leaves.mapInArrow(run, T.StructType([*leaves.schema.fields, *added]))
+
 
-    schema = T.StructType([*leaves.schema.fields, T.StructField("pieces", T.StringType())])
-    return leaves.mapInArrow(run, schema)
+def _unpacked(places: bytes, ids: bytes, shown: str) -> list[Piece]:
+    """Pieces of a leaf; tokens never hold a space or line feed (bytes are shown as printable symbols)."""
+    out, at = [], 0
+    for (a, b, n), s in zip(np.frombuffer(places, np.uint32).reshape(-1, 3).tolist(), shown.split("\n") if places else (), strict=True):
+        out.append((a, b, ids[at : at + 4 * n], s))
+        at += 4 * n
+    return out
 
 
 def _joiner(path: str, leaf_chars: int):
     made: list[TreeEncoder] = []
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
+    def join(rows: pa.Table) -> pa.Table:
         if not made:
             made.append(TreeEncoder(path, leaf_chars))
-        encoder, key = made[0], rows.columns[0]
-        rows = rows.sort_values("leaf")
-        if len(rows) != rows["leaves"].iloc[0]:
+        encoder, key = made[0], rows.schema.names[0]
+        leaves = sorted(rows.to_pylist(), key=lambda r: r["leaf"])
+        if len(leaves) != leaves[0]["leaves"]:
             raise ValueError("a document's leaves are not complete")
-        if rows["pieces"].isna().any():  # special tokens: parts between them are trees of their own
-            ids, decoded = encoder.encode("".join(rows["text"]))
+        if any(r["places"] is None for r in leaves):
+            ids, decoded = encoder.encode("".join(r["text"] for r in leaves))
         else:
-            nodes = []
-            for t, p in zip(rows["text"], rows["pieces"], strict=True):
-                pieces = []
-                for a, b, _, w in json.loads(p):
-                    tokens = tuple(w.split(" "))
-                    pieces.append((a, b, tuple(map(encoder.ids.__getitem__, tokens)), tokens))
-                nodes.append((t, pieces))
+            nodes = [(r["text"], _unpacked(r["places"], r["ids"], r["shown"])) for r in leaves]
             while len(nodes) > 1:
                 up = [(a[0] + b[0], encoder.join(a[0] + b[0], a[1], b[1], len(a[0]))) for a, b in zip(nodes[::2], nodes[1::2], strict=False)]
                 nodes = up + nodes[len(up) * 2 :]
             ids, decoded = _flat(nodes[0][1])
-        return pd.DataFrame({key: [rows[key].iloc[0]], "n_tokens": [len(ids) // 4], "ids": [ids], "decoded": [decoded]})
+        return pa.table({key: [leaves[0][key]], "n_tokens": [len(ids) // 4], "ids": pa.array([ids], pa.binary()), "decoded": [decoded]})
 
     return join
