@@ -46,7 +46,7 @@ LIST_PAIRS = 64
 ROUNDS = (0.0, 0.25, 0.75)
 POSTINGS_PER_BUCKET = 1_000_000
 FLUSH = 500_000
-BLOCK = 512
+BLOCK_BYTES = 1 << 20
 #: Ids of texts to verify are broadcast up to so many (16 bytes each), else they meet the texts in a shuffle.
 BROADCAST_ROWS = 50_000
 _SEEDS = mix(np.arange(1, ORDERS + 1, dtype=np.uint64))
@@ -318,49 +318,79 @@ def _expand(t: int):
     return run
 
 
-def _block_pairs(classes: DataFrame, t: int) -> DataFrame:
-    """Pairs of different components that may link, from blocks of classes of similar size."""
+def _block_links(classes: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """(u, v): links between components among classes (key, component, n, bits), enough to connect what is connected.
+
+    Blocks of about BLOCK_BYTES of sets meet within and between neighbouring bands of size. In a pair of blocks the
+    signatures bound the overlap, pairs that may link are compared exactly, and pairs that are connected already, in
+    this task or before, are left out; only links come out.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / t)).cast("int")
-    rows = classes.select("key", "component", "n", "bits").withColumn("band", band)
-    chunks = rows.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("chunks"))
-    dealt = rows.join(chunks, "band").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    rows = cut(classes.join(sets, "key").select("key", "component", "n", "bits", "s").withColumn("band", band))
+    # bands grow by a constant factor, so there are some eighty of them for any size
+    chunks = {r["band"]: r["chunks"] for r in rows.groupBy("band").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("chunks")).collect()}
+    if not chunks:
+        return rows.select(F.col("key").alias("u"), F.col("key").alias("v")).limit(0)
+    of_band = F.create_map(*[F.lit(x) for kv in chunks.items() for x in kv])
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), of_band[F.col("band")]).cast("int"))
 
     def pack(rows: pa.Table) -> pa.Table:
         meta = np.stack([rows.column(c).to_numpy() for c in ("key", "component", "n")], axis=1)
         bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("bits")]
-        least = min(map(len, bits))
-        folded = np.stack([fold(x, least) for x in bits])
-        return pa.table({"band": rows.column("band")[:1], "chunk": rows.column("chunk")[:1], "meta": [meta.tobytes()], "bits": [folded.tobytes()]})
+        folded = np.stack([fold(x, min(map(len, bits))) for x in bits])
+        flat = b"".join(rows.column("s").to_pylist())
+        return pa.table({"band": rows.column("band")[:1], "chunk": rows.column("chunk")[:1], "meta": [meta.tobytes()], "bits": [folded.tobytes()], "sets": [flat]})
 
-    packed = cut(dealt.groupBy("band", "chunk").applyInArrow(pack, "band int, chunk int, meta binary, bits binary"))
+    packed = cut(dealt.groupBy("band", "chunk").applyInArrow(pack, "band int, chunk int, meta binary, bits binary, sets binary"))
     # a class and its partners lie in one band or in neighbouring ones (rounding is covered by a second neighbour)
     left = packed.select("band", "chunk").withColumn("band_2", F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)))
     places = left.join(packed.select(F.col("band").alias("band_2"), F.col("chunk").alias("chunk_2")), "band_2").where("band_2 > band OR chunk_2 >= chunk")
-    met = places.join(packed, ["band", "chunk"]).join(packed.toDF("band_2", "chunk_2", "meta_2", "bits_2"), ["band_2", "chunk_2"])
+    met = places.join(packed, ["band", "chunk"]).join(packed.toDF("band_2", "chunk_2", "meta_2", "bits_2", "sets_2"), ["band_2", "chunk_2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                meta, bits, meta_2, bits_2 = (np.frombuffer(batch.column(i)[r].as_buffer(), d) for i, d in enumerate((np.int64, np.uint64, np.int64, np.uint64)))
-                meta, meta_2 = meta.reshape(-1, 3), meta_2.reshape(-1, 3)
-                x, y = bits.reshape(len(meta), -1), bits_2.reshape(len(meta_2), -1)
-                words = min(x.shape[1], y.shape[1])
-                x, y = (np.bitwise_or.reduce(z.reshape(len(z), -1, words), axis=1) for z in (x, y))
-                n_y, out = meta_2[:, 2], []
-                for k, (key, comp, n) in enumerate(meta.tolist()):
-                    ok = (meta_2[:, 1] != comp) & (100 * np.minimum(n, n_y) >= t * np.maximum(n, n_y))
-                    j = np.flatnonzero(ok)
-                    if not len(j):
-                        continue
-                    most = np.minimum(n - np.bitwise_count(x[k] & ~y[j]).sum(axis=1, dtype=np.int64), n_y[j] - np.bitwise_count(~x[k] & y[j]).sum(axis=1, dtype=np.int64))
-                    j = j[100 * most >= t * (n + n_y[j] - most)]
-                    other = meta_2[j, 0]
-                    out.append(np.stack((np.minimum(key, other), np.maximum(key, other)), axis=1))
-                if out:
-                    both = np.concatenate(out)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    return met.select("meta", "bits", "meta_2", "bits_2").mapInArrow(run, "a long, b long")
+                sides = [[np.frombuffer(batch.column(3 * side + i)[r].as_buffer(), d) for i, d in enumerate((np.int64, np.uint64, np.uint64))] for side in (0, 1)]
+                links = _links_of_blocks(sides[0], sides[1], t)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
+
+    return met.select("meta", "bits", "sets", "meta_2", "bits_2", "sets_2").mapInArrow(run, "u long, v long")
+
+
+def _links_of_blocks(left: list[np.ndarray], right: list[np.ndarray], t: int) -> list[tuple[int, int]]:
+    """Links (key, key) that join components of the two blocks' classes."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    meta, meta_2 = left[0].reshape(-1, 3), right[0].reshape(-1, 3)
+    x, y = left[1].reshape(len(meta), -1), right[1].reshape(len(meta_2), -1)
+    words = min(x.shape[1], y.shape[1])
+    x, y = (np.bitwise_or.reduce(z.reshape(len(z), -1, words), axis=1) for z in (x, y))
+    at, at_2 = (np.concatenate(([0], np.cumsum(m[:, 2]))) for m in (meta, meta_2))
+    n_y, out = meta_2[:, 2], []
+    for k, (key, comp, n) in enumerate(meta.tolist()):
+        ok = (meta_2[:, 1] != comp) & (100 * np.minimum(n, n_y) >= t * np.maximum(n, n_y))
+        j = np.flatnonzero(ok)
+        most = np.minimum(n - np.bitwise_count(x[k] & ~y[j]).sum(axis=1, dtype=np.int64), n_y[j] - np.bitwise_count(~x[k] & y[j]).sum(axis=1, dtype=np.int64))
+        mine = left[2][at[k] : at[k + 1]]
+        for b in j[100 * most >= t * (n + n_y[j] - most)].tolist():
+            other = find(int(meta_2[b, 1]))
+            if other == find(comp):
+                continue
+            theirs = right[2][at_2[b] : at_2[b + 1]]
+            # both sorted: what is found at its place is shared
+            place = np.minimum(np.searchsorted(mine, theirs), n - 1)
+            both = int((mine[place] == theirs).sum())
+            if 100 * both >= t * (n + len(theirs) - both):
+                out.append((key, int(meta_2[b, 0])))
+                parent[other] = find(comp)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -401,7 +431,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         del costly
         release(spark)
     if not active.isEmpty():
-        found.append(_block_pairs(labelled.join(active.select("key"), "key", "left_semi"), threshold))
+        sets = _matched(_hashed(_among(docs, active, id_col, text_col), words, threshold, None), active, []).dropDuplicates(["key"])
+        links.append(cut(_block_links(labelled.join(active.select("key"), "key", "left_semi"), sets, threshold)))
+        del sets
     if found:
         pairs = reduce(DataFrame.unionByName, found).distinct()
         links.append(cut(_verified(cut(_may_link(pairs, labelled, threshold)), *where)))

@@ -113,3 +113,40 @@ def test_components_of_paths_and_stars(spark):
     want = sorted((x, find(x)) for x in parent)
     got = components(spark.createDataFrame(edges, "u long, v long"))
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_links_of_blocks():
+    import numpy as np
+
+    from auditspark.llm.shingles import Shingler, bitmap, fold
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for _ in range(40):
+        t = list(base)
+        for i in rng.sample(range(70), 2):
+            t[i] = f"x{rng.random()}"
+        texts.append(" ".join(t))
+    texts.append(" ".join(base))
+    sets = Shingler().sets(texts)
+    least = min(len(bitmap(s)) for s in sets)
+    side = [
+        np.array([(i, i, len(s)) for i, s in enumerate(sets)], np.int64).ravel(),
+        np.stack([fold(bitmap(s), least) for s in sets]).ravel(),
+        np.concatenate(sets),
+    ]
+    links = jaccard._links_of_blocks(side, side, 75)
+    linked = {frozenset(p) for p in links}
+    true = {frozenset((i, j)) for i in range(41) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))}
+    assert linked <= true and len(links) == len(linked)
+    assert groups(41, linked) == groups(41, true)
+
+
+def groups(n, pairs):
+    label = list(range(n))
+    for _ in range(n):
+        for p in pairs:
+            a, b = p
+            label[a] = label[b] = min(label[a], label[b])
+    return label
