@@ -22,6 +22,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .common import append_columns, slices, without
 
 LEAF_CHARS = 32_768
 WORD_SYMBOLS = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Texts of code points below this are composed already and pre-tokenised alike in all Unicode versions.
 PLAIN_BELOW = 0x300
 
@@ -222,6 +223,12 @@ def _flat(pieces: list[Piece]) -> tuple[bytes, str]:
     return b"".join([p[2] for p in pieces]), " ".join([p[3] for p in pieces])
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str, leaf_chars: int) -> TreeEncoder:
+    """One encoder for each worker process, whatever number of tasks it runs."""
+    return TreeEncoder(path, leaf_chars)
+
+
 FIELDS = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids", T.BinaryType()),
@@ -241,7 +248,7 @@ def encode_documents(
     long_text = F.coalesce(F.length(text_col) > leaf_chars, F.lit(False))
 
     def make():
-        encoder = TreeEncoder(path, leaf_chars)
+        encoder = shared_encoder(path, leaf_chars)
 
         def apply(texts):
             both = [encoder.encode(t) for t in texts]
@@ -300,7 +307,7 @@ def _encode_leaves(leaves: DataFrame, path: str, leaf_chars: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TreeEncoder(path, leaf_chars)
+        encoder = shared_encoder(path, leaf_chars)
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 columns: tuple[list, list, list] = [], [], []
@@ -326,12 +333,8 @@ def _unpacked(places: bytes, ids: bytes, shown: str) -> list[Piece]:
 
 
 def _joiner(path: str, leaf_chars: int):
-    made: list[TreeEncoder] = []
-
     def join(rows: pa.Table) -> pa.Table:
-        if not made:
-            made.append(TreeEncoder(path, leaf_chars))
-        encoder, key = made[0], rows.schema.names[0]
+        encoder, key = shared_encoder(path, leaf_chars), rows.schema.names[0]
         leaves = sorted(rows.to_pylist(), key=lambda r: r["leaf"])
         if len(leaves) != leaves[0]["leaves"]:
             raise ValueError("a document's leaves are not complete")
