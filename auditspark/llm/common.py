@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -78,6 +80,14 @@ def append_columns(
     return source.mapInArrow(run, out)
 
 
+def trim() -> None:
+    """Give a Python worker's free memory back to the system: workers outlive tasks, and two share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle and checkpoint files of frames that nothing refers to any more."""
     gc.collect()

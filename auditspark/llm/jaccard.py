@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, slices
+from .common import cut, release, slices, trim
 from .components import components
 from .shingles import SHINGLE_WORDS, Shingler, bitmap, fold, mix, most_shared
 
@@ -44,7 +44,7 @@ LIST_COMPONENTS = 32
 LIST_PAIRS = 64
 #: Shares of n by which m grows from round to round.
 ROUNDS = (0.0, 0.25, 0.75)
-POSTINGS_PER_BUCKET = 1_000_000
+POSTINGS_PER_BUCKET = 500_000
 FLUSH = 500_000
 BLOCK_BYTES = 1 << 20
 #: Ids of texts to verify are broadcast up to so many (16 bytes each), else they meet the texts in a shuffle.
@@ -88,6 +88,7 @@ def summarise(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                     ],
                     names=["id", "n", "key", "mins", "bits"],
                 )
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n long, key long, mins array<long>, bits binary")
@@ -157,6 +158,7 @@ def _hashed(rows: DataFrame, words: int, t: int, share: float | None) -> DataFra
                             p = min(n, n - int(_required(n, t)) + int(_matches(np.array([n]), share, t)[0]))
                             data.append((s[:p] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["id", "key", "s"])
+        trim()
 
     return rows.mapInArrow(run, "id long, key long, s binary")
 
@@ -209,6 +211,8 @@ def _postings(prefixes: DataFrame, buckets: int) -> DataFrame:
                     held, owners, count = [], [], 0
         if held:
             yield from _packed(held, owners, buckets)
+        held = owners = None
+        trim()
 
     return prefixes.select("key", "component", "n", "s").mapInArrow(run, "bucket int, kind int, tokens binary, owners binary, table binary")
 
@@ -315,7 +319,12 @@ def _expand(t: int):
         kind = np.concatenate((np.zeros(len(a), np.int32), np.ones(len(hots), np.int32)))
         return pa.table({"kind": kind, "a": np.concatenate((a, hots[:, 0])), "b": np.concatenate((b, hots[:, 1]))})
 
-    return run
+    def trimmed(rows: pa.Table) -> pa.Table:
+        out = run(rows)
+        trim()
+        return out
+
+    return trimmed
 
 
 def _block_links(classes: DataFrame, sets: DataFrame, t: int) -> DataFrame:
