@@ -40,6 +40,20 @@ def test_scores_follow_links(spark):
         assert abs(r.trust - trust.get(r.host, 0)) < 1e-3 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-3
 
 
+def test_unrelated_seeds_and_long_chains_change_no_verdict(spark):
+    link = lambda to: f'<a href="http://{to}/p">.</a>'
+    rows = [("http://bad.com/de/x", ""), ("http://farm.net/x", link("bad.com")), ("http://feeder.net/x", link("farm.net"))]
+    rows += [("http://h0.net/x", link("farm.net"))] + [(f"http://h{i}.net/x", link(f"h{i - 1}.net")) for i in range(1, 26)]
+    rows += [(f"http://s{i}.org/x", "") for i in range(10_000)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r for r in urlgraph.filter_urls(df, RULES).collect()}
+    assert {h: r.verdict for h, r in got.items() if not h.endswith(".org")} == {h: "block" for h in ("bad.com", "farm.net", "feeder.net", *(f"h{i}.net" for i in range(26)))}
+    # farm.net shares its distrust between the two hosts that link to it
+    for i in range(26):
+        assert abs(got[f"h{i}.net"].distrust / (0.15 * 0.85 * (0.85 / 2) * 0.85**i) - 1) < 1e-6
+    assert all(r.verdict == "allow" and r.distrust == 0 for h, r in got.items() if h.endswith(".org"))
+
+
 def test_blocks_of_broken_pages():
     text = lambda page: [(b.path[-1][0] if b.path else "", b.text) for b in html_text.blocks_of(page)]
     assert text(None) == text("") == text("<!-- x") == []
