@@ -3,7 +3,8 @@
 One automaton pass over the ASCII-lower-cased UTF-8 bytes finds the places where a keyword of any rule starts;
 only there a rule's expression is matched, anchored at the keyword. Rules whose values embed a checksum keep a
 match only if the checksum holds. Long hexadecimal runs have no keyword: a run of `HEX_MIN` digits covers a
-position in every stride of that length, so strided probes find all of them without a scan of the whole text.
+position in every stride of that length, so strided probes find all of them without a scan of the whole text. A
+private key's span covers the whole block, from the header over the body to the END line.
 
 Cases: null and empty texts give no span; matches of one kind never overlap (leftmost first, and a match that
 fails its length test still consumes its characters); several kinds may cover the same characters; texts are
@@ -60,6 +61,23 @@ def _checks(name: str, m: re.Match) -> bool:
     return True
 
 
+#: What stands between the parts of a key block: white space, also escaped, and quotes or comment marks of code.
+_BETWEEN = rb"""(?:\\[nrt]|//(?=\s)|[\s"'`,;>#|*\\])"""
+#: A line's end, also escaped or at the end of a string of code, and what comments and quotations begin lines with.
+_NEW_LINE = rb"""["'`,;+ \\]{0,4}(?:\r?\n|(?:\\r)?\\n(?:["'][ ,+\\]*\r?\n)?)(?://(?=\s)|[ \t"'`>#|*])*+"""
+#: A key block reaches from its header to its END line. If none comes before the next dashes, it reaches over the PEM
+#: fields, long runs of base64 digits and lines of nothing else that follow; a short run on the line of a long one
+#: counts if it has a sign that words lack.
+_KEYBLOCK = re.compile(
+    rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:"
+    rb"(?>(?:[^-]+|-(?!----))*)-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rb"|(?:%(between)s+(?:Proc-Type|DEK-Info|Comment|X-[A-Za-z0-9-]+):[^\r\n\\]*)*(?:"
+    rb"%(between)s*+[A-Za-z0-9+/]{16,}+={0,2}"
+    rb"|%(line)s[A-Za-z0-9+/]++={0,2}(?=[ \t\"'`,;]*(?:\r?\n|\\[rn]|$))"
+    rb"|(?<=[A-Za-z0-9+/]{16})[ ](?=[A-Za-z+/]*[0-9+/=])[A-Za-z0-9+/]++={0,2}(?![A-Za-z0-9])"
+    rb")*)" % {b"between": _BETWEEN, b"line": _NEW_LINE}
+)
+
 RULES = (
     Rule(
         "assign",
@@ -72,7 +90,7 @@ RULES = (
     Rule("access", ("akia",), re.compile(rb"AKIA[A-Z0-9]+"), "access"),
     # Kinds beyond the base: values that carry a checksum of themselves, and key blocks.
     Rule("checked", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), re.compile(rb"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), "crc"),
-    Rule("keyblock", ("-----begin ",), re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), "any"),
+    Rule("keyblock", ("-----begin ",), _KEYBLOCK, "any"),
 )
 #: Order of kinds among spans that start at the same place.
 KINDS = ("assign", "access", "hex", "checked", "keyblock")
