@@ -1,10 +1,11 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with > are quoted; their level is the number of > before the text. Consecutive quoted lines of one
-level in a message are a passage. Passages, and the whole unquoted text, paragraphs and lines of messages, are
-normalised (A-Z lower-cased, everything but letters, digits and non-ASCII characters dropped) and hashed with SHA-256;
-equal hashes link a message to the first message of its conversation that holds the quoted words, if that is an
-earlier one. A message replies to the original of its shallowest linked passage (the latest of several); one that
+level in a message are a passage. Whole passages, their paragraphs and lines, and the whole unquoted text, paragraphs
+and lines of messages, are normalised (A-Z lower-cased, everything but letters, digits and non-ASCII characters
+dropped) and hashed with SHA-256; equal hashes link a part of a passage to the first message of its conversation that
+holds its words, if that is an earlier one, and a passage links to the original of its longest linked part (the latest
+of several). A message replies to the original of its shallowest linked passage (the latest of several); one that
 links to nothing replies to the message before it. In reply order a message that answers an older one comes right
 after that one and its earlier answers, followed by its own continuation; the rest of the conversation goes on below.
 Only DataFrame functions are used.
@@ -38,6 +39,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "")
 
 
+def units_of(text: Column) -> Column:
+    """The whole text, its paragraphs and its lines."""
+    return F.array_distinct(F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, r"\n")))
+
+
 def passage_hash(text: Column) -> Column:
     """SHA-256 of the normalised text; null if nothing is left of it."""
     kept = normalised(text)
@@ -63,7 +69,7 @@ def _numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 
 def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Messages with `key` (of the conversation), `at` (place in it), `own` (text without quotes), `quotes` (level, hash)."""
+    """Messages with `key` (of the conversation), `at` (place in it), `own` (text without quotes), `quotes` (level, units of size and hash)."""
     rows = messages.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
@@ -83,9 +89,11 @@ def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     following = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["raw"].alias("raw"), F.coalesce(F.get(F.col("lines"), i + 1)["level"], F.lit(0)).alias("next")))
     kept = F.filter(following, lambda x: (x["level"] == 0) & ~((x["next"] > 0) & F.rlike(x["raw"], F.lit(_INTRODUCTION))))
     own = F.when(marked, F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["raw"]), "\n"), r"^\s+|\s+$", "")).otherwise(F.col("text"))
+    unit = lambda u: F.struct(F.length(normalised(u)).alias("size"), passage_hash(u).alias("hash"))
+    units = lambda body: F.array_distinct(F.filter(F.transform(units_of(body), unit), lambda u: u["size"] > 0))
     quotes = F.filter(
-        F.transform(F.filter(groups, lambda g: g["level"] > 0), lambda g: F.struct(g["level"].alias("level"), passage_hash(g["body"]).alias("hash"))),
-        lambda q: q["hash"].isNotNull(),
+        F.transform(F.filter(groups, lambda g: g["level"] > 0), lambda g: F.struct(g["level"].alias("level"), units(g["body"]).alias("units"))),
+        lambda q: F.size(q["units"]) > 0,
     )
     return rows.select("key", "conv_id", "at", "turn", "role", own.alias("own"), quotes.alias("quotes"))
 
@@ -93,19 +101,21 @@ def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 def link_quotes(messages: DataFrame, **columns: str) -> DataFrame:
     """Messages with reply_at (the place of the message answered; null for the first), n_quotes and n_linked passages."""
     rows = cut(parsed(messages, **columns))
-    asked = rows.select("key", "at", F.explode("quotes").alias("q")).groupBy("key", "at", F.col("q.hash").alias("hash")).agg(F.min("q.level").alias("level"), F.count("*").alias("n"))
-    wanted = asked.select("key", "hash").distinct()
-    units = F.array_distinct(F.concat(F.array(F.col("own")), F.split("own", r"\n\s*\n"), F.split("own", r"\n")))
+    passages = rows.select("key", "at", F.posexplode("quotes").alias("passage", "q"))
+    asked = passages.select("key", "at", "passage", F.col("q.level").alias("level"), F.explode("q.units").alias("u")).select("key", "at", "passage", "level", "u.size", "u.hash")
+    asking = rows.where(F.size("quotes") > 0).select("key").distinct()
     # only conversations that quote need their originals hashed
-    originals = rows.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "at", F.explode(units).alias("u"))
+    originals = rows.join(asking, "key", "left_semi").select("key", "at", F.explode(units_of(F.col("own"))).alias("u"))
     originals = originals.select("key", passage_hash(F.col("u")).alias("hash"), "at").where("hash IS NOT NULL")
     first = originals.groupBy("key", "hash").agg(F.min("at").alias("original"))
     found = asked.join(first, ["key", "hash"], "left").withColumn("original", F.when(F.col("original") < F.col("at"), F.col("original")))
+    longest = F.max(F.when(F.col("original").isNotNull(), F.struct("size", "original")))["original"]
+    each = found.groupBy("key", "at", "passage").agg(F.first("level").alias("level"), longest.alias("original"))
     linked = F.col("original").isNotNull()
-    per = found.groupBy("key", "at").agg(
+    per = each.groupBy("key", "at").agg(
         F.min(F.when(linked, F.struct("level", (-F.col("original")).alias("minus")))).alias("best"),
-        F.sum("n").alias("n_quotes"),
-        F.sum(F.when(linked, F.col("n")).otherwise(0)).alias("n_linked"),
+        F.count("*").alias("n_quotes"),
+        F.count_if(linked).alias("n_linked"),
     )
     before = F.when(F.col("at") > 1, F.col("at") - 1)
     return rows.join(per, ["key", "at"], "left").select(

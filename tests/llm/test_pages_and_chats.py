@@ -118,6 +118,18 @@ def test_replies_follow_what_they_quote(spark):
     ]
 
 
+def test_parts_of_messages_are_quoted(spark):
+    first = "Hello all,\nthe first line of it\nthe second line of it\nthe third line\n\nA middle paragraph.\n\nA last one,\nin two lines.\n\n--\nA. Signature"
+    rows = [
+        (1, 0, "user", first), (1, 1, "user", "Hello all,\nsomething else"), (1, 2, "user", "Between."),
+        (1, 3, "user", "> the second line of it\n> the third line\nLines."), (1, 4, "user", "> A middle paragraph.\n>\n> A last one, in\n> two lines.\nParagraphs."),
+        (1, 5, "user", "\n".join("> " + x for x in first.split("\n")[:-3]) + "\nWithout its signature."), (1, 6, "user", "> Hello all,\n> something else\nThe longest part."),
+        (1, 7, "user", "> Hello all,\n> something else\n>\n> never said\nPart of it."), (1, 8, "user", "> never said\n> nor this\nNothing."),
+    ]
+    got = {r[2]: r[4:] for r in chats(spark, rows)}
+    assert got == {0: (None, 0, 0), 1: (0, 0, 0), 2: (1, 0, 0), 3: (0, 1, 1), 4: (0, 1, 1), 5: (0, 1, 1), 6: (1, 1, 1), 7: (1, 1, 1), 8: (7, 1, 0)}
+
+
 def test_one_large_conversation(spark):
     n = 3000
     rows = [(1, i, "user", f"message {i}" if i % 500 else f"message {i}\n> message {i // 2 + 1}") for i in range(n)] + [(2, 0, "user", "message 0")]
