@@ -76,8 +76,9 @@ class TreeEncoder:
         space = r"\t-\r \x85\xa0"
         self.plain = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
         self.gap, self.odd_gap = re.compile(f"[{space}]+"), re.compile("[\x1c-\x1f]")
-        # the one capital here whose lower case is two characters long is not plain
-        self.beyond = re.compile("[^\x00-įı-˿]")
+        # not plain: the one capital here whose lower case is two characters long (U+0130), and the two whose lower
+        # case lies beyond (U+023A, U+023E)
+        self.beyond = re.compile("[^\x00-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u02ff]")
         self.words = _Words(self)
         self.stretches = _Stretches(self)
 

@@ -35,6 +35,13 @@ def test_small_leaves_equal_the_library(library):
         assert small.encode(t) == library(t)
 
 
+def test_every_plain_character_equals_the_library(library):
+    encoder, small = bpe.TreeEncoder(PATH), bpe.TreeEncoder(PATH, leaf_chars=6)
+    for c in map(chr, range(bpe.PLAIN_BELOW + 16)):
+        for t in (c, f"ab{c}cd", f"{c}{c}", f"1{c} x{c}!", f"'{c}s {c}"):
+            assert encoder.encode(t) == small.encode(t) == library(t), (hex(ord(c)), t)
+
+
 def test_documents(spark, library):
     rng = random.Random(8)
     texts = [None, "", " \n", "one two", "one two", "z" * 900] + ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 400))) for _ in range(40)]
