@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,12 @@ from auditspark.llm.queries import tokenizer_path
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a determinable language go; the others keep their columns.
 
-    Profiles are learned from all labelled documents, and a document is rejected if it has no letter.
+    Profiles are learned from all labelled documents, and a document is rejected if it has no letter; so it is where no
+    document is labelled.
     """
     profiles = langid.train(docs)
+    if not profiles.languages:  # nothing to tell apart: one empty profile stands for any language
+        profiles = langid.Profiles(["any"], np.zeros((1, profiles.dimensions), np.float32), profiles.dimensions, profiles.seed)
     found = langid.identify(docs, profiles, lang_out="__lang", score_out="__score")
     return found.where(F.col("__lang") != langid.UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -102,3 +102,9 @@ def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
             docs = out
         got = sorted((str(r.doc_id), r.text) for r in docs.collect())
         assert got == ([("1", "a b c d e f"), ("3", "a b c d e f g h"), ("None", "a b c d e f")] if data else [])
+
+
+def test_languages_without_a_label(spark, tmp_path):
+    rows = [(1, "a b c", None, "s", 5), (2, "12 !", None, "s", 4), (3, None, None, "s", None), (4, "é", None, "s", 1), (None, "Wort", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()) == ["1", "4", "None"]
