@@ -20,10 +20,12 @@ SLICE_BYTES = 4 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a local one only where none is named (tests)."""
+    """Use the shared folder the cluster names; a temporary one only where driver and executors are one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditspark-checkpoint-"))
 
 
@@ -76,6 +78,8 @@ def append_columns(
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *new], schema=pa.schema([*part.schema, *added])
                 )
+                del new
+        trim()
 
     return source.mapInArrow(run, out)
 

@@ -10,8 +10,8 @@ the sorting, and is where a walk ends too (suffixes after such a word are sample
 The benchmark is searched in blocks of at most `block_bytes` of text, so the part held by a worker is bounded
 whatever the benchmark's size.
 
-Cases: null or wordless texts have no words and are never hit; a null or wordless item has no window; items with
-equal windows are all reported; repeated documents are each judged; an empty benchmark leaves all documents clean;
+Cases: null or wordless texts have no words and are never hit; a null or wordless item has no window; a null item id
+is reported as an empty one; items with equal windows are all reported; repeated documents are each judged; an empty benchmark leaves all documents clean;
 an empty table gives an empty table; input columns named like output columns are replaced.
 """
 
@@ -21,14 +21,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append_columns, without
+from .common import slices, trim, without
 
 WINDOW = 10
 SAMPLE = 8
+BLOCK_BYTES = 4 << 20
 _WORD_BYTES = bytes(b for b in range(256) if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
 #: Lower-cases A-Z, keeps word bytes, and turns all others into spaces.
 _TABLE = bytes((c if (c := b + 32 if 0x41 <= b <= 0x5A else b) in _WORD_BYTES else 0x20) for b in range(256))
@@ -148,7 +152,7 @@ class Windows:
                 rows.setdefault(ids[i : i + size], []).append(item)
         self.items = [sorted(set(v)) for v in rows.values()]
         self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.rows = np.zeros((len(rows), size), np.int64)
+        self.rows = np.zeros((len(rows), size), np.int32)
         for k, r in enumerate(rows):
             self.rows[k, size - len(r) :] = r
 
@@ -204,18 +208,43 @@ FIELDS = [
 ]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Item id and text, in blocks; rows of one block are all that the driver holds."""
-    block, held = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[Broadcast]:
+    """Item ids and texts as broadcasts of at most `block_bytes` of text (or one item); the driver holds one at a time."""
+    sc, out, block, held = benchmark.sparkSession.sparkContext, [], [], 0
+    size = F.octet_length(text_col).alias("n")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"), size).where("t IS NOT NULL")
     for r in rows.orderBy("i", "t").toLocalIterator():
-        if block and held + len(r.t) > block_bytes:
-            yield block
+        if block and held + r.n > block_bytes:
+            out.append(sc.broadcast(block))
             block, held = [], 0
         block.append((r.i or "", r.t))
-        held += len(r.t)
-    if block:
-        yield block
+        held += r.n
+    return [*out, sc.broadcast(block)]
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of its spans and what stands between them; unchanged without spans."""
+    if not spans:
+        return text
+    data = text.encode("utf-8", "surrogatepass")
+    where, parts, at = [m.span() for m in _WORD.finditer(data)], [], 0
+    for first, stop in spans:
+        parts.append(data[at : where[first][0]])
+        at = where[stop - 1][1]
+    return b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """What two benchmark blocks found in one text: items united, spans merged anew, hits counted again."""
+    if not a[1] or not b[1]:
+        return b if b[1] else a
+    spans: list[tuple[int, int]] = []
+    for first, stop in sorted([*a[3], *b[3]]):
+        if spans and first <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], stop))
+        else:
+            spans.append((first, stop))
+    return a[0], sum(y - x for x, y in spans), sorted({*a[2], *b[2]}), spans
 
 
 def find_contamination(
@@ -225,68 +254,46 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = BLOCK_BYTES,
+    cleaned_col: str | None = None,
 ) -> DataFrame:
-    """docs with n_words, n_hit, items (sorted as strings) and spans (merged, in words; for removal).
+    """docs with n_words, n_hit, items (sorted as strings) and spans (merged, in words).
 
-    One map-only pass for each benchmark block; the results of several blocks are merged in the row.
+    `cleaned_col` names a further column for the text without its spans. One map-only pass: a task opens one benchmark
+    block after the other for each of its batches, so neither its memory nor the driver's grows with the benchmark.
     """
-    docs = without(docs, [f.name for f in FIELDS])
-    done = None
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        fields = [T.StructField(f"__{f.name}_{k}", f.dataType) for f in FIELDS]
-
-        def make(block=block):
-            windows = Windows(block, window)
-            return lambda texts: [list(c) for c in zip(*([n, h, i, [{"start": a, "end": b} for a, b in s]] for n, h, i, s in judge(texts, windows)), strict=True)]
-
-        done = append_columns(docs if done is None else done, text_col, make, fields)
-        if k:
-            done = _merge(done, k)
-    if done is None:
-        def make():
-            return lambda texts: [[len(words(t)) for t in texts]]
-
-        done = append_columns(docs, text_col, make, [T.StructField("__n_words_0", T.LongType())]).withColumns(
-            {"__n_hit_0": F.lit(0).cast("long"), "__items_0": F.array().cast("array<string>"), "__spans_0": F.array().cast(SPANS)}
-        )
-    return done.withColumnsRenamed({f"__{f.name}_0": f.name for f in FIELDS})
-
-
-def _merge(df: DataFrame, k: int) -> DataFrame:
-    """Fold block k's columns into block 0's: items united, spans merged anew, hits counted again."""
-    step = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-        F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-        ),
-    ).otherwise(F.concat(acc, F.array(s)))
-    spans = F.aggregate(F.array_sort(F.concat("__spans_0", f"__spans_{k}")), F.array().cast(SPANS), step)
-    df = df.withColumns({"__spans_0": spans, "__items_0": F.array_sort(F.array_union("__items_0", f"__items_{k}"))})
-    total = F.aggregate("__spans_0", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return df.withColumn("__n_hit_0", total).drop(*[f"__{f.name}_{k}" for f in FIELDS])
-
-
-def remove_spans(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
-    """docs whose text lost the words of its spans with what stands between them; text without spans is unchanged."""
-
-    @F.pandas_udf("string")
-    def cut_out(texts, spans):
-        out = []
-        for t, s in zip(texts, spans, strict=True):
-            if t is not None and s is not None and len(s):
-                data = t.encode("utf-8", "surrogatepass")
-                where, parts, at = [m.span() for m in _WORD.finditer(data)], [], 0
-                for x in s:
-                    parts.append(data[at : where[x["start"]][0]])
-                    at = where[x["end"] - 1][1]
-                t = b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass")
-            out.append(t)
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
-
-    hit = F.coalesce(F.size(F.col(spans_col)) > 0, F.lit(False))
-    new = F.when(hit, cut_out(F.when(hit, F.col(text_col)), F.when(hit, F.col(spans_col)))).otherwise(F.col(text_col))
-    return docs.withColumn(text_col, new)
+    fields = [*FIELDS, *([T.StructField(cleaned_col, T.StringType())] if cleaned_col else [])]
+    docs = without(docs, [f.name for f in fields])
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    schema = T.StructType([*docs.schema.fields, *fields])
+    added = to_arrow_schema(T.StructType(fields))
+
+    def opened(block: Broadcast) -> Windows:
+        windows = Windows(block.value, window)
+        vars(block).pop("_value", None)  # a broadcast keeps what it has read, of which one is enough
+        return windows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = opened(blocks[0])
+        for batch in batches:
+            parts = list(slices(batch, text_col))
+            found: list[list[tuple]] = []
+            for k, block in enumerate(blocks):
+                if len(blocks) > 1:
+                    windows = opened(block)
+                for i, (_, texts) in enumerate(parts):
+                    new = judge(texts, windows)
+                    if k:
+                        found[i] = list(map(_merged, found[i], new))
+                    else:
+                        found.append(new)
+            for (part, texts), rows in zip(parts, found, strict=True):
+                columns = [list(c) for c in zip(*rows, strict=True)]
+                if cleaned_col:
+                    columns.append([t and cut_words(t, s) for t, s in zip(texts, columns[3], strict=True)])
+                columns[3] = [[{"start": a, "end": b} for a, b in s] for s in columns[3]]
+                new = [pa.array(c, added.field(i).type) for i, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], schema=pa.schema([*part.schema, *added]))
+        trim()
+
+    return docs.mapInArrow(run, schema)

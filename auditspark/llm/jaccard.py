@@ -18,8 +18,10 @@ This links most groups of near copies with as many comparisons as they have memb
 connected are not expanded again. Candidates pass a bound from bit signatures; what is left is verified on the exact
 sets. Nothing is capped or dropped.
 
+Shingles are told apart by 64-bit fingerprints of word hashes, sets by 128 bits over their fingerprints.
+
 Cases: null, empty and wordless texts have the empty set and link with nothing; a text of fewer words than a shingle is
-one shingle; copies and repeated rows are one class and share its component; null ids stay, and are a component's
+one shingle; at a threshold of 100 only equal sets link; copies and repeated rows are one class and share its component; null ids stay, and are a component's
 smallest id only if it has no other; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,7 @@ BLOCK_BYTES = 1 << 20
 #: Ids of texts to verify are broadcast up to so many (16 bytes each), else they meet the texts in a shuffle.
 BROADCAST_ROWS = 50_000
 _SEEDS = mix(np.arange(1, ORDERS + 1, dtype=np.uint64))
+_SIDES = mix(np.array([101, 102], np.uint64))
 
 
 def _required(n, t: int):
@@ -57,16 +61,14 @@ def _required(n, t: int):
     return (t * n + 99) // 100
 
 
-def _key(fingerprints: np.ndarray) -> int:
-    """Of a set: two sums over differently mixed fingerprints, mixed into one 64-bit number."""
-    a = np.add.reduce(mix(fingerprints ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)
-    b = np.bitwise_xor.reduce(mix(fingerprints + np.uint64(0x14057B7EF767814F)))
-    x = mix(np.array([a], np.uint64)) ^ np.array([b], np.uint64) + np.uint64(len(fingerprints))
-    return int(mix(x).view(np.int64)[0])
+def _set_key(fingerprints: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set: sums over two mixings of its fingerprints, each mixed with the set's size."""
+    sums = [np.add.reduce(mix(fingerprints ^ s), dtype=np.uint64) for s in _SIDES]
+    return tuple(mix(np.array(sums, np.uint64) + np.uint64(len(fingerprints))).view(np.int64).tolist())
 
 
 def summarise(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Per row: id, n (shingles), key (of the set), mins (in each random order), bits (signature)."""
+    """Per row: id, n (shingles), ka and kb (the set's key), mins (in each random order), bits (signature), sha (of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -78,20 +80,28 @@ def summarise(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 at = np.cumsum([0, *map(len, some)])[:-1]
                 mins = np.stack([np.minimum.reduceat(mix(flat ^ s), at) for s in _SEEDS], axis=1).view(np.int64).tolist() if some else []
                 where = iter(mins)
+                keys = [_set_key(s) if len(s) else (0, 0) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_key(s) if len(s) else 0 for s in sets], pa.int64()),
+                        pa.array([a for a, _ in keys], pa.int64()),
+                        pa.array([b for _, b in keys], pa.int64()),
                         pa.array([next(where) if len(s) else None for s in sets], pa.list_(pa.int64())),
                         pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                        pa.array([text_sha(t) for t in texts], pa.binary()),
                     ],
-                    names=["id", "n", "key", "mins", "bits"],
+                    names=["id", "n", "ka", "kb", "mins", "bits", "sha"],
                 )
         trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, key long, mins array<long>, bits binary")
+    return rows.mapInArrow(run, "id long, n long, ka long, kb long, mins array<long>, bits binary, sha binary")
+
+
+def text_sha(text: str | None) -> bytes | None:
+    """As Spark's sha2(text, 256), in bytes."""
+    return None if text is None else sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
 def _centre_pairs(classes: DataFrame) -> DataFrame:
@@ -134,13 +144,14 @@ def _among(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
 
 
 def _matched(rows: DataFrame, classes: DataFrame, extra: list[str]) -> DataFrame:
-    """rows (id, key, ...) that stand for their class: those of its smallest id."""
-    wanted = classes.select(F.col("id").alias("first"), F.col("key").alias("class"), *extra)
-    return rows.join(wanted, (rows["key"] == wanted["class"]) & rows["id"].eqNullSafe(wanted["first"])).drop("class", "first", "id")
+    """(key, s, ...) of the rows (id, ka, kb, s) that stand for their class, those of its smallest id."""
+    wanted = classes.select("key", F.col("ka").alias("wa"), F.col("kb").alias("wb"), F.col("id").alias("first"), *extra)
+    same = (rows["ka"] == wanted["wa"]) & (rows["kb"] == wanted["wb"]) & rows["id"].eqNullSafe(wanted["first"])
+    return rows.join(wanted, same).select("key", "s", *extra)
 
 
 def _hashed(rows: DataFrame, words: int, t: int, share: float | None) -> DataFrame:
-    """(id, key, s): fingerprints of each text as bytes; all of 64 bits, or with `share` the prefix's upper 48 bits."""
+    """(id, ka, kb, s): fingerprints of each text as bytes; all of 64 bits, or with `share` the prefix's upper 48 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -151,21 +162,22 @@ def _hashed(rows: DataFrame, words: int, t: int, share: float | None) -> DataFra
                 for k, s in zip(ids, shingler.sets(found), strict=True):
                     if n := len(s):
                         own.append(k)
-                        keys.append(_key(s))
+                        keys.append(_set_key(s))
                         if share is None:
                             data.append(s.tobytes())
                         else:
                             p = min(n, n - int(_required(n, t)) + int(_matches(np.array([n]), share, t)[0]))
                             data.append((s[:p] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["id", "key", "s"])
+                both = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *both, pa.array(data, pa.binary())], names=["id", "ka", "kb", "s"])
         trim()
 
-    return rows.mapInArrow(run, "id long, key long, s binary")
+    return rows.mapInArrow(run, "id long, ka long, kb long, s binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, t: int) -> DataFrame:
     """The pairs that reach the threshold, from the exact sets."""
-    needed = cut(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("key", "id"))
+    needed = cut(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("key", "ka", "kb", "id"))
     sets = _matched(_hashed(_among(docs, needed, id_col, text_col), words, t, None), needed, []).dropDuplicates(["key"])
     # the side that is a centre of many comes last, as one row that a split join can repeat
     loads = pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("load"))
@@ -402,21 +414,30 @@ def _links_of_blocks(left: list[np.ndarray], right: list[np.ndarray], t: int) ->
     return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable by links of Jaccard similarity >= threshold / 100)."""
+def linked_classes(docs: DataFrame, id_col: str, text_col: str, threshold: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): per row id, n, ka, kb and sha; per set of shingles key, ka, kb, first and component.
+
+    `first` is the least row of a class (z: its id is null; id; sha), `component` the key of one class of those linked.
+    """
     spark = docs.sparkSession
     parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     summary = cut(summarise(docs, id_col, text_col, words))
-    ids = summary.select("id", "n", "key")
-    lone = F.when(F.col("id").isNull(), 1).otherwise(0)
-    classes = summary.where("n > 0").groupBy("key").agg(F.min(F.struct(lone.alias("z"), F.col("id").alias("id"), "n", "mins", "bits")).alias("s"))
-    classes = cut(classes.select("key", "s.id", "s.n", "s.mins", "s.bits"))
+    lone = F.col("id").isNull().alias("z")
+    first = F.min(F.struct(lone, "id", "sha", "n", "mins", "bits")).alias("s")
+    classes = summary.where("n > 0").groupBy("ka", "kb").agg(first)
+    # numbers that no two classes share; they hold once they are written
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("key"), "ka", "kb", "s.z", "s.id", "s.sha", "s.n", "s.mins", "s.bits"))
+    rows = summary.select("id", "n", "ka", "kb", "sha")
+    bare = classes.select("key", "ka", "kb", F.struct("z", "id", "sha").alias("first"))
+    if threshold >= 100:  # only equal sets link
+        return rows, bare.withColumn("component", F.col("key"))
 
     where = (docs, classes, id_col, text_col, words, threshold)
     links = [cut(_verified(cut(_may_link(_centre_pairs(classes), classes, threshold)), *where))]
     release(spark)
     grouped = components(links[0])
-    labelled = cut(classes.drop("mins").join(grouped.withColumnRenamed("v", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    side = classes.select("key", "ka", "kb", "id", "n", "bits")
+    labelled = cut(side.join(grouped.withColumnRenamed("v", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     del grouped
     release(spark)
 
@@ -427,11 +448,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not total:
             break
         buckets = max(parallel, -(-int(total) // POSTINGS_PER_BUCKET))
-        # the first rounds take most classes: prefixes, not texts, meet the classes in a shuffle
-        rows = _among(docs, active, id_col, text_col) if share > 0.5 else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        posted = _postings(_matched(_hashed(rows, words, threshold, share), active, ["component", "n"]), buckets).repartition(buckets, "bucket")
+        # prefixes, not texts, meet the classes in a shuffle
+        hashed = _hashed(_among(docs, active, id_col, text_col), words, threshold, share)
+        posted = _postings(_matched(hashed, active, ["component", "n"]), buckets).repartition(buckets, "bucket")
         out = cut(posted.groupBy("bucket").applyInArrow(_expand(threshold), "kind int, a long, b long"))
-        del rows, posted  # what these frames shuffled can go
+        del hashed, posted  # what these frames shuffled can go
         found.append(out.where("kind = 0").select("a", "b"))
         costly = out.where("kind = 1").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("costly"))
         # the least m of any partner, whose size may be threshold / 100 of this one's
@@ -447,11 +468,48 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = reduce(DataFrame.unionByName, found).distinct()
         links.append(cut(_verified(cut(_may_link(pairs, labelled, threshold)), *where)))
         release(spark)
-    joined = components(reduce(DataFrame.unionByName, links))
-    smallest = classes.select("key", "id").join(joined.withColumnRenamed("v", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least_id = smallest.groupBy("component").agg(F.min("id").alias("component_id"))
-    resolved = smallest.join(least_id, "component").select("key", "component_id")
-    out = ids.join(resolved, "key", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
-    )
+    joined = components(reduce(DataFrame.unionByName, links)).withColumnRenamed("v", "key")
+    return rows, cut(bare.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")))
+
+
+def _with_least(classes: DataFrame) -> DataFrame:
+    """Adds `least`, the least `first` of each class's component.
+
+    A component may hold most classes. Those with more than a quarter of an even partition's share, at most four for
+    each partition, are sent to all tasks; the others meet their classes in a shuffle.
+    """
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = cut(classes.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("k")))
+    share = (sizes.agg(F.sum("k")).first()[0] or 0) // (4 * parts)
+    large = F.broadcast(sizes.where(F.col("k") > share + 1).drop("k"))
+    here = classes.join(large, "component")
+    there = classes.join(large.select("component"), "component", "left_anti").join(sizes.where(F.col("k") <= share + 1).drop("k"), "component")
+    return here.unionByName(there)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id reachable by links of Jaccard similarity >= threshold / 100)."""
+    rows, classes = linked_classes(docs, id_col, text_col, threshold, words)
+    resolved = _with_least(classes).select("ka", "kb", F.col("least.id").alias("component_id"))
+    out = rows.drop("sha").join(resolved, ["ka", "kb"], "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of docs that stand for their component: of the smallest id (nulls last), then of the least hash of the text.
+
+    Rows without words are linked with nothing; of equal rows (id and text), with words or without, one stays.
+    """
+    rows, classes = linked_classes(docs, id_col, text_col, threshold, words)
+    lead = classes.groupBy("component").agg(F.min("first").alias("least")).select("least.id", "least.sha")
+    wordless = rows.where("n = 0").select("id", "sha").distinct()
+    counts = rows.groupBy("id", "sha").agg(F.count("*").alias("rows")).where("rows > 1")
+    again = F.col("rows").isNotNull().alias("__again")
+    kept = lead.unionByName(wordless).alias("k").join(counts.alias("c"), F.expr("k.id <=> c.id AND k.sha <=> c.sha"), "left")
+    kept = kept.select(F.col("k.id").alias("__id"), F.col("k.sha").alias("__sha"), again)
+    keyed = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_sha": F.unhex(F.sha2(text_col, 256))})
+    found = keyed.join(kept, F.expr("__row_id <=> __id AND __row_sha <=> __sha")).drop("__row_id", "__row_sha")
+    found = cut(found) if not counts.isEmpty() else found
+    once = found.where("NOT __again").unionByName(found.where("__again").dropDuplicates(["__id", "__sha"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])

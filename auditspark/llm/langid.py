@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. An n-gram is the product of its letters' vectors, each rotated by its
+Every letter, of any script, has a random vector of +1 and -1 (upper and lower case share one). An n-gram is the product of its letters' vectors, each rotated by its
 place; a document is the sum over its n-grams (words are joined by one boundary symbol, which has a vector too), and
 a language's prototype is the sum of its training documents' unit vectors, rounded to fixed point so that the sum
 does not depend on its order. A document gets the language whose prototype has the largest cosine with it.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +25,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, slices
+from .common import append_columns, slices, trim
 
 UNDETERMINED = "und"
 DIMENSIONS = 1024
 NGRAM = 3
 SEED = 20_011
-#: Symbols: 0 is the boundary, 1-26 are a-z, the rest are shared by all other letters.
-SYMBOLS = 128
 _FIXED_POINT = float(1 << 20)
 _BATCH = 96
 
 
-def _letter_table() -> np.ndarray:
-    """Symbol of each code point; upper and lower case share one."""
-    table = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            table[c] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Lower case of each code point that is a letter, else 0; one table for each process."""
+    table = np.zeros(0x110000, np.uint32)
+    for c in map(chr, range(0x110000)):
+        if c.isalpha():
+            table[ord(c)] = ord(c.lower()[0])
     return table
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Space:
     """The random vectors, and documents as vectors."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        self.dimensions, self.table = dimensions, _letter_table()
-        letters = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions), dtype=np.int8) * 2 - 1
-        self.rotated = [np.roll(letters, NGRAM - 1 - k, axis=1) for k in range(NGRAM)]
+        self.dimensions, self.table = dimensions, _letters()
+        self.seed = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+
+    def letter_vectors(self, symbols: np.ndarray) -> np.ndarray:
+        """A row of +1 and -1 for each symbol (a code point, or 0 for the boundary), from the seed and the symbol alone."""
+        words = -(-self.dimensions // 64)
+        at = symbols.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64)
+        bits = np.unpackbits(_spread(_spread(at + np.uint64(1)) + self.seed).view(np.uint8), axis=1)
+        return bits[:, : self.dimensions].astype(np.int8) * 2 - 1
 
     def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """A unit vector for each text, and whether it has a letter (else its vector is zero)."""
@@ -65,7 +76,7 @@ class Space:
         owner = np.concatenate((owner[:1], owner))
         keep = symbols > 0
         keep[1:] |= symbols[:-1] > 0
-        symbols, owner = symbols[keep].astype(np.int32), owner[keep]
+        symbols, owner = symbols[keep], owner[keep]
         has = np.zeros(len(texts), bool)
         has[owner[symbols > 0]] = True
         # every text also begins with a boundary: the one that ends its predecessor serves both
@@ -74,16 +85,26 @@ class Space:
         out = np.zeros((len(texts), self.dimensions), np.float32)
         if len(symbols) < NGRAM:
             return out, has
-        code = (symbols[:-2] << 14) | (symbols[1:-1] << 7) | symbols[2:]
-        key = (owner[:-2].astype(np.int64) << 21 | code)[owner[:-2] == owner[2:]]
-        key, count = np.unique(key, return_counts=True)
-        grams, column = np.unique(key & ((1 << 21) - 1), return_inverse=True)
-        for at in range(0, len(grams), 8192):
-            g = grams[at : at + 8192]
-            bound = self.rotated[0][g >> 14] * self.rotated[1][g >> 7 & 127] * self.rotated[2][g & 127]
-            mine = (column >= at) & (column < at + 8192)
+        # symbols by their number in this batch, n-grams by one number made of theirs
+        present = np.flatnonzero(np.bincount(symbols))
+        number = np.zeros(present[-1] + 1, np.int64)
+        number[present] = np.arange(len(present))
+        at, base = number[symbols], len(present)
+        own = owner[: 1 - NGRAM] == owner[NGRAM - 1 :]
+        code = reduce(lambda x, k: x * base + at[k : len(at) - NGRAM + 1 + k], range(NGRAM), np.int64(0))
+        grams, column = np.unique(code[own], return_inverse=True)
+        key, count = np.unique(owner[: 1 - NGRAM][own].astype(np.int64) * len(grams) + column, return_counts=True)
+        row, column = np.divmod(key, len(grams))
+        letters = self.letter_vectors(present)
+        rotated = [np.roll(letters, NGRAM - 1 - k, axis=1) for k in range(NGRAM)]
+        for a in range(0, len(grams), 8192):
+            g, bound = grams[a : a + 8192], np.int8(1)
+            for k in range(NGRAM - 1, -1, -1):
+                g, digit = np.divmod(g, base)
+                bound = bound * rotated[k][digit]
+            mine = (column >= a) & (column < a + 8192)
             counts = np.zeros((len(texts), len(g)), np.float32)
-            counts[key[mine] >> 21, column[mine] - at] = count[mine]
+            counts[row[mine], column[mine] - a] = count[mine]
             out += counts @ bound.astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0), has
@@ -118,6 +139,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
                         sums[lang] = sums.get(lang, 0) + fixed[[x == lang for x in mine]].sum(axis=0)
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["l", "v"])
+        trim()
 
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     parts = rows.mapInArrow(bundle, "l string, v array<long>")

@@ -1,20 +1,28 @@
 """Word shingles of texts as sorted arrays of 64-bit fingerprints, in whole-array arithmetic.
 
-Words are `[^\\x20\\x09-\\x0D]+` after A-Z is lower-cased, hashed from their UTF-8 bytes by a polynomial modulo 2^64
-(prefix sums, so no loop over words) and a bit mixer; a shingle combines the hashes of its words in the same way.
+Words are `[^\\x20\\x09-\\x0D]+` after A-Z is lower-cased. A word's hash mixes two polynomials of its UTF-8 bytes,
+modulo two primes near 2^31 and with unrelated bases (prefix sums, so no loop over words; unlike sums modulo a power of
+two, no repetitive structure makes them collide), and its length; a very long word has a keyed BLAKE2b hash. A
+shingle's fingerprint mixes the weighted sum of its words' hashes.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import blake2b
+
 import numpy as np
 
 SHINGLE_WORDS = 5
-#: Bytes of text whose sums are held at once (about forty bytes of memory for each), beyond one text.
+#: Bytes of text whose sums are held at once (about forty bytes of memory for each), and the longest word summed up.
 AT_ONCE = 1 << 19
+LONG_WORD = 1 << 12
 _WHITE = {0x20, *range(0x09, 0x0E)}
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in _WHITE else b for b in range(256))
-#: Fixed odd multipliers of the two polynomials.
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Fixed primes with the bases of their polynomials, the multiplier of the places in a shingle, and the key of long words.
+_FIELDS = ((2_147_483_647, 1_540_483_477), (2_147_483_629, 917_654_321))
+_WORD_BASE = 0xD6E8FEB86659FD93
+_KEY = b"word shingles"
 _MASK = (1 << 64) - 1
 
 
@@ -27,19 +35,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each base its powers and their inverses modulo the prime, for a stretch of AT_ONCE bytes."""
+    return [(_raised(base, p), _raised(pow(base, -1, p), p)) for p, base in _FIELDS]
+
+
+def _raised(base: int, p: int) -> np.ndarray:
+    """1, base, base^2 ... modulo p, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) <= AT_ONCE:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)))
+    return out.astype(np.uint32)
+
+
+def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and their hashes; raw begins and ends with a space."""
+    space = raw == 0x20
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    stop = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    size = stop - start
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):  # the values do not depend on where stretches end
+        end = max(at + 1, int(np.searchsorted(stop, start[at] + AT_ONCE, "right")))
+        a, b = start[at], min(stop[end - 1], start[at] + AT_ONCE)
+        x = raw[a:b].astype(np.uint64) + np.uint64(1)
+        first, last = start[at:end] - a, np.minimum(stop[at:end], b) - a
+        halves = []
+        for (p, _), (up, down) in zip(_FIELDS, _powers(), strict=True):
+            sums = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum(x * up[: len(x)], out=sums[1:])
+            halves.append((sums[last] - sums[first]) % np.uint64(p) * down[first] % np.uint64(p))
+        out[at:end] = mix((halves[0] << np.uint64(32) | halves[1]) + size[at:end].astype(np.uint64) * np.uint64(_WORD_BASE))
+        at = end
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(raw[start[i] : stop[i]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
+    return start, out
+
+
 class Shingler:
     def __init__(self, words: int = SHINGLE_WORDS):
         self.words = words
-        self.up = self.down = np.ones(1, np.uint64)
         self.factors = [np.uint64(pow(_WORD_BASE, i, 1 << 64)) for i in range(words)]
 
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size, inverse = max(n, 1 << 20), pow(_BYTE_BASE, -1, 1 << 64)
-            ones = np.ones(1, np.uint64)
-            self.up = np.concatenate((ones, np.cumprod(np.full(size, _BYTE_BASE, np.uint64))))
-            self.down = np.concatenate((ones, np.cumprod(np.full(size, inverse, np.uint64))))
-
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """Of each text the sorted distinct fingerprints; with fewer words than a shingle one for all, without words none."""
         out, held, size = [], [], 0
@@ -52,14 +90,7 @@ class Shingler:
         return out + self._sets(held) if held else out
 
     def _sets(self, data: list[bytes]) -> list[np.ndarray]:
-        raw = np.frombuffer(b" " + b"".join(data), np.uint8)
-        self._powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=sums[1:])
-        space = raw == 0x20
-        start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        stop = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        words = mix((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+        start, words = _word_hashes(np.frombuffer(b" " + b"".join(data), np.uint8))
         k = self.words
         rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)
         for i in range(k if len(rolled) else 0):
@@ -70,8 +101,8 @@ class Shingler:
         for b in ends.tolist():
             if b - a >= k:
                 out.append(np.unique(rolled[a : b - k + 1]))
-            elif b > a:
-                total = sum(int(w) * pow(_WORD_BASE, i, 1 << 64) for i, w in enumerate(words[a:b])) + b - a
+            elif b > a:  # told apart from whole shingles by the number of words
+                total = sum(int(w) * int(f) for w, f in zip(words[a:b], self.factors, strict=False)) + b - a
                 out.append(mix(np.array([total & _MASK], np.uint64)))
             else:
                 out.append(np.empty(0, np.uint64))

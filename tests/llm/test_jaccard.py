@@ -88,6 +88,40 @@ def test_odd_rows(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_structured_words_and_equal_sets_only(spark):
+    a = "a"
+    for _ in range(10):  # words whose polynomials collide modulo any power of two
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x {a} y z w"), (2, f"x {b} y z w"), (3, "q" * 6000 + " a b"), (4, "q" * 6001 + " a b"), (5, f"x  {a} Y z w")]
+    assert run(spark, rows) == brute(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 1)]
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f g"), (4, None)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), threshold=100).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 3, 3), (4, 0, 4)]
+
+
+def test_hashes_do_not_depend_on_neighbours():
+    from auditspark.llm.shingles import AT_ONCE, Shingler
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 9, 5000]))) for _ in range(rng.randint(0, 300))) for _ in range(12)]
+    texts += ["z" * (AT_ONCE + 7) + " a b c d", " ".join(f"w{i}" for i in range(AT_ONCE // 4)), "", None]
+    together = Shingler().sets(texts)
+    for t, s in zip(texts, together, strict=True):
+        assert s.tolist() == Shingler().sets([t])[0].tolist() and len(s) == len(shingle_set(t))
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "A b c d e f"), (9, "other words than these here"), (None, "x y"), (None, "x  y"), (2, None), (2, None), (3, ""), (None, "!"), (8, "!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS key", "'k' AS __again2")
+    out = jaccard.drop_near_copies(df)
+    assert out.columns == df.columns
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    one = min(("x y", "x  y"), key=jaccard.text_sha)
+    assert left == sorted([(4, "a b c d e f"), (9, "other words than these here"), (None, one), (2, None), (3, ""), (8, "!")], key=str)
+    assert jaccard.drop_near_copies(df.limit(0)).collect() == []
+
+
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, key string, n long")
     assert jaccard.jaccard_components(empty).collect() == []

@@ -36,3 +36,42 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
     share = found.join(docs, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert share > 0.98
+
+
+def test_against_plain_profiles(spark):
+    """The same vectors, n-gram by n-gram."""
+    import numpy as np
+
+    rng, space = random.Random(3), langid.Space()
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))), lang)
+            for i, (lang, a) in enumerate(24 * [("de", "abcdeäöü"), ("ru", "абвгде"), ("zh", "的一是不了人")])]
+    rows += [(100, "ABC Ä1b", None), (101, "ё", None), (102, "日本", None), (103, "", None)]
+
+    def vector(text):
+        symbols, last = [0], 0
+        for c in text:
+            s = ord(c.lower()[0]) if c.isalpha() else 0
+            symbols += [s] if s or last else []
+            last = s
+        symbols += [0] if last else []
+        out = np.zeros(langid.DIMENSIONS)
+        for i in range(len(symbols) - 2):
+            gram = 1.0
+            for k, s in enumerate(symbols[i : i + 3]):
+                gram = gram * np.roll(space.letter_vectors(np.array([s]))[0].astype(float), 2 - k)
+            out += gram
+        n = np.linalg.norm(out)
+        return out / n if n else out
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages = ["de", "ru", "zh"]
+    sums = [sum(vector(t) for _, t, x in rows if x == lang) for lang in languages]
+    for r in langid.identify(df, langid.train(df)).collect():
+        cosines = [float(vector(r.text) @ s / np.linalg.norm(s)) for s in sums]
+        if not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            assert abs(r.score - max(0.0, *cosines)) < 1e-4
+            assert r.lang_pred == languages[int(np.argmax(cosines))] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-4
+    tie = langid.Profiles(["aa", "bb"], np.stack([sums[0] / np.linalg.norm(sums[0])] * 2).astype(np.float32), langid.DIMENSIONS, langid.SEED)
+    assert {r.lang_pred for r in langid.identify(df.where("lang = 'de'"), tie).collect()} == {"aa"}

@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from auditspark.llm import secret_scan
+from auditspark.llm import langid, secret_scan
 
 from .test_jaccard import brute as groups_of
 from .test_secrets_and_leaks import leak_brute
@@ -43,6 +44,10 @@ def plain(docs, items):
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     kept = [d for d in docs if d[1] and any(c.isalpha() for c in d[1])]
+    vectors = dict(zip([d[0] for d in docs], langid.Space().vectors([d[1] for d in docs])[0], strict=True))
+    sums = [sum(vectors[d[0]] for d in docs if d[2] == x) for x in ("de", "en")]
+    best = {d: max(float(v @ s / np.linalg.norm(s)) for s in sums) for d, v in vectors.items()}
+    kept = [d for d in kept if sum(c.isalpha() for c in d[1]) < 200 or best[d[0]] >= 4 / langid.DIMENSIONS**0.5]
     first = {d: c for d, _, c in groups_of([(d[0], d[1]) for d in kept])}
     kept = [d for d in kept if first[d[0]] == d[0]]
     automaton, out = secret_scan._automaton(), []
@@ -101,7 +106,30 @@ def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
                 assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
             docs = out
         got = sorted((str(r.doc_id), r.text) for r in docs.collect())
-        assert got == ([("1", "a b c d e f"), ("3", "a b c d e f g h"), ("None", "a b c d e f")] if data else [])
+        assert got == ([("1", "a b c d e f"), ("3", "a b c d e f g h")] if data else [])
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["spans", "items", "n_words", "n_hit", "secret_spans", "__lang", "key", "component", "row", "leaf", "open", "score", "a.b"]
+    text = 'Some words before, one two three four five six seven eight nine ten, password = "hunter2secret" and after.'
+    docs = spark.createDataFrame([(7, text, *names)], "doc_id int, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    got = docs.collect()[0].asDict()
+    assert [got[n] for n in names] == names and got["doc_id"] == 7 and docs.schema["doc_id"].dataType.simpleString() == "int"
+    assert got["text"] == 'Some words before, , [secret]" and after.' and got["n_tokens"] > 5 and len(docs.columns) == len(names) + 4
+
+
+def test_languages_are_filled_in_and_foreign_texts_go(spark, tmp_path):
+    rng = random.Random(1)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    german, english = ["der", "die", "und", "nicht", "ist", "schön"], ["the", "and", "of", "not", "was", "with"]
+    rows = [(i, say(w, 80), lang) for i, (w, lang) in enumerate([(german, "de"), (english, "en")] * 5)]
+    rows += [(50, say(german, 60), None), (51, say(english, 3), None), (52, "Привет мир как дела " * 20, None), (53, "日本", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()}
+    assert 52 not in got and got[50] == "de" and got[51] == "en" and 53 in got and len(got) == 13
 
 
 def test_languages_without_a_label(spark, tmp_path):
