@@ -26,7 +26,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache, reduce
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -291,12 +291,6 @@ def _pack(ids) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(maxsize=1)
-def shared_encoder(path: str, leaf_chars: int) -> TreeEncoder:
-    """One encoder for each worker process, whatever number of tasks it runs."""
-    return TreeEncoder(path, leaf_chars)
-
-
 FIELDS = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids", T.BinaryType()),
@@ -324,7 +318,7 @@ def encode_documents(
     long_text = F.coalesce(F.length(text_col) > leaf_chars, F.lit(False))
 
     def make():
-        encoder = shared_encoder(path, leaf_chars)
+        encoder = TreeEncoder(path, leaf_chars)
 
         def apply(texts):
             both = [encoder.encode(t) for t in texts]
@@ -340,7 +334,8 @@ def encode_documents(
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     encoded = _encode_leaves(_leaves(marked, leaf_chars).repartition(n, "key", "leaf"), path, leaf_chars)
     kept = T.StructType([encoded.schema["row"], encoded.schema["text"], *FIELDS])
-    joined = encoded.groupBy("key").applyInArrow(_joiner(path, leaf_chars), kept)
+    ordered = encoded.repartition(n, "key").sortWithinPartitions("key", "leaf")
+    joined = ordered.mapInArrow(_joiner(path, leaf_chars), kept)
     back = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     return short.unionByName(joined.select(*back, *[f.name for f in FIELDS]))
 
@@ -398,8 +393,9 @@ def _encode_leaves(leaves: DataFrame, path: str, leaf_chars: int) -> DataFrame:
     added = _NODE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(path, leaf_chars)
+        encoder = None
         for batch in batches:
+            encoder = encoder or TreeEncoder(path, leaf_chars)
             for part, texts in slices(batch, "text"):
                 nodes = [encoder.leaf(t) for t in texts]
                 new = [
@@ -410,6 +406,7 @@ def _encode_leaves(leaves: DataFrame, path: str, leaf_chars: int) -> DataFrame:
                     _packed_runs([x.tail for x in nodes]),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *[f.name for f in added]])
+        encoder = None
         trim()
 
     return leaves.mapInArrow(run, T.StructType([*leaves.schema.fields, *added]))
@@ -422,29 +419,37 @@ def _packed_runs(runs: list[list[Piece]]) -> pa.Array:
 
 
 def _joiner(path: str, leaf_chars: int):
-    def join(rows: pa.Table) -> pa.Table:
-        encoder = shared_encoder(path, leaf_chars)
-        order = sorted(range(rows.num_rows), key=rows.column("leaf").to_pylist().__getitem__)
-        rows = rows.take(order)
-        if rows.num_rows != rows.column("leaves")[0].as_py():
+    """Documents from their leaves, which come one after the other; a task holds one document's nodes at a time."""
+    run = lambda x: [(p["text"], p["tokens"].split(" ")) for p in x.as_py()]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, nodes, texts, row, wanted = None, [], [], None, 0
+        for batch in batches:
+            encoder = encoder or TreeEncoder(path, leaf_chars)
+            for i in range(batch.num_rows):
+                if batch.column("leaf")[i].as_py() != len(nodes):
+                    raise ValueError("a document's leaves are not complete")
+                if not nodes:
+                    row, wanted = batch.column("row").slice(i, 1), batch.column("leaves")[i].as_py()
+                opened, head, ids, shown, tail = (batch.column(f.name)[i] for f in _NODE)
+                nodes.append(Node(opened.as_py(), run(head), [ids.as_py()], [s] if (s := shown.as_py()) else [], run(tail)))
+                texts.append(batch.column("text")[i].as_py())
+                if len(nodes) == wanted:
+                    packed, decoded = encoder.finish(encoder.tree(nodes))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            row,
+                            pa.array(["".join(texts)], pa.string()),
+                            pa.array([len(packed) // 4], pa.int64()),
+                            pa.array([packed], pa.binary()),
+                            pa.array([decoded], pa.string()),
+                        ],
+                        names=["row", "text", *[f.name for f in FIELDS]],
+                    )
+                    nodes, texts, row = [], [], None
+        if nodes:
             raise ValueError("a document's leaves are not complete")
-        run = lambda x: [(p["text"], p["tokens"].split(" ")) for p in x.as_py()]
-        nodes = []
-        for opened, head, ids, shown, tail in zip(*(rows.column(f.name) for f in _NODE), strict=True):
-            nodes.append(Node(opened.as_py(), run(head), [ids.as_py()], [s] if (s := shown.as_py()) else [], run(tail)))
-        ids, decoded = encoder.finish(encoder.tree(nodes))
-        out = pa.Table.from_arrays(
-            [
-                rows.column("row").slice(0, 1),
-                pa.array(["".join(rows.column("text").to_pylist())], pa.string()),
-                pa.array([len(ids) // 4], pa.int64()),
-                pa.array([ids], pa.binary()),
-                pa.array([decoded], pa.string()),
-            ],
-            names=["row", "text", *[f.name for f in FIELDS]],
-        )
-        if len(decoded) > 1 << 22:
-            trim()
-        return out
+        encoder = None
+        trim()
 
     return join

@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that a Python worker holds at once beyond its incoming batch.
 SLICE_BYTES = 4 << 20
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -55,13 +56,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start), values.slice(start).to_pylist()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let fewer rows go to a Python worker at once where the session has Spark's default: ten thousand long texts would
+    fill a worker."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
+
+
 def append_columns(
     df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list[list]]], fields: list[T.StructField]
 ) -> DataFrame:
     """Add columns computed in Arrow batches from one text column, keeping all others.
 
     `make` runs once per task and returns a function from a list of texts (None for null) to one list of
-    values per new field. Existing columns with the names of new fields are replaced.
+    values per new field; what it holds goes with the task. Existing columns with the names of new fields are replaced.
     """
     out = T.StructType([*without(df, [f.name for f in fields]).schema.fields, *fields])
     source = df
@@ -69,6 +77,7 @@ def append_columns(
         raise ValueError("an output column may not replace the text column")
     source = without(df, [f.name for f in fields])
     added = to_arrow_schema(T.StructType(fields))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
@@ -79,6 +88,7 @@ def append_columns(
                     [*part.columns, *new], schema=pa.schema([*part.schema, *added])
                 )
                 del new
+        apply = None
         trim()
 
     return source.mapInArrow(run, out)

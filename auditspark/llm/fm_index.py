@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices, trim, without
+from .common import slices, small_batches, trim, without
 
 WINDOW = 10
 SAMPLE = 8
@@ -264,6 +264,7 @@ def find_contamination(
     """
     fields = [*FIELDS, *([T.StructField(cleaned_col, T.StringType())] if cleaned_col else [])]
     docs = without(docs, [f.name for f in fields])
+    small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     schema = T.StructType([*docs.schema.fields, *fields])
     added = to_arrow_schema(T.StructType(fields))
@@ -294,6 +295,7 @@ def find_contamination(
                 columns[3] = [[{"start": a, "end": b} for a, b in s] for s in columns[3]]
                 new = [pa.array(c, added.field(i).type) for i, c in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], schema=pa.schema([*part.schema, *added]))
+        windows = None
         trim()
 
     return docs.mapInArrow(run, schema)

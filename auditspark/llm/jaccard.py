@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, slices, trim
+from .common import cut, release, slices, small_batches, trim
 from .components import components
 from .shingles import SHINGLE_WORDS, Shingler, bitmap, fold, mix, most_shared
 
@@ -420,6 +420,7 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, threshold: int,
     `first` is the least row of a class (z: its id is null; id; sha), `component` the key of one class of those linked.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     summary = cut(summarise(docs, id_col, text_col, words))
     lone = F.col("id").isNull().alias("z")

@@ -91,10 +91,10 @@ class Space:
         number[present] = np.arange(len(present))
         at, base = number[symbols], len(present)
         own = owner[: 1 - NGRAM] == owner[NGRAM - 1 :]
-        code = reduce(lambda x, k: x * base + at[k : len(at) - NGRAM + 1 + k], range(NGRAM), np.int64(0))
-        grams, column = np.unique(code[own], return_inverse=True)
-        key, count = np.unique(owner[: 1 - NGRAM][own].astype(np.int64) * len(grams) + column, return_counts=True)
-        row, column = np.divmod(key, len(grams))
+        code = reduce(lambda x, k: x * base + at[k : len(at) - NGRAM + 1 + k], range(NGRAM), owner[: 1 - NGRAM].astype(np.int64))
+        key, count = np.unique(code[own], return_counts=True)
+        row, gram = np.divmod(key, base**NGRAM)
+        grams, column = np.unique(gram, return_inverse=True)
         letters = self.letter_vectors(present)
         rotated = [np.roll(letters, NGRAM - 1 - k, axis=1) for k in range(NGRAM)]
         for a in range(0, len(grams), 8192):
