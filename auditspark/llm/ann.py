@@ -7,9 +7,10 @@ measured. A pair survives if its upper bound reaches the k-th best lower bound k
 computed again from the original vectors in double precision, and a bounded heap of each query keeps the best. No
 pair that belongs in the result can be lost, so recall is 1.
 
-Blocks of candidates stay with the task that read them until they are dealt over `salts` cells of each query block;
-one task merges all its tiles, so a query is shuffled at most `salts` times with k neighbours each. The query set is
-split into blocks of `query_block` vectors, whatever its size.
+Queries are dealt into blocks of about `query_block` vectors, candidates into blocks that are dealt into strips of at
+most `strip` vectors, as many as there are tasks to fill. A cell is one query block with one strip; a task works on one
+cell at a time and holds its query block, its heaps and one block of candidates, so its memory depends on neither
+table. The best of a query's cells are merged in two steps.
 
 Cases: vectors that are null, zero, of another length than the queries', or hold null or non-finite components take
 no part, as query or candidate; a query's own row (any row of its id) is no candidate; repeated ids stay candidates
@@ -20,17 +21,21 @@ candidates than k all are returned; empty tables give no rows; other columns are
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import trim
 
 TOP_K = 20
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 2048
-SALTS = 48
+STRIP = 1 << 17
 #: Longest stretch of components whose int8 products add up exactly in single precision.
 _EXACT = 1 << 24
 
@@ -41,7 +46,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _pack(size: int):
+def _pack(size: int, kind: type):
     """Rows (id, v) of a task to blocks (dim, ids, vectors as bytes), each of one dimension and at most `size` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,11 +60,8 @@ def _pack(size: int):
             )
 
         for batch in batches:
-            ids, lists = batch.column(0), batch.column(1)
-            lengths = np.diff(lists.offsets.to_numpy())
-            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            at = lists.offsets.to_numpy()
-            for i, (k, dim) in enumerate(zip(ids.to_pylist(), lengths.tolist(), strict=True)):
+            ids, at, flat = batch.column(0), *_flat(batch.column(1), kind)
+            for i, (k, dim) in enumerate(zip(ids.to_pylist(), np.diff(at).tolist(), strict=True)):
                 own = held.setdefault(dim, ([], []))
                 own[0].append(k)
                 own[1].append(flat[at[i] : at[i] + dim])
@@ -67,14 +69,31 @@ def _pack(size: int):
                     yield block(dim)
         for dim in list(held):
             yield block(dim)
+        trim()
+
+    return run
+
+
+def _flat(lists: pa.ListArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Where lists start, and all their values."""
+    return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(kind)
+
+
+def _one_block(kind: type):
+    """A group of rows (dim, part, id, v) as one block."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        vectors = b"".join(np.ascontiguousarray(_flat(c, kind)[1][c.offsets[0].as_py() : c.offsets[-1].as_py()]).tobytes() for c in rows.column("v").chunks)
+        ids = rows.column("id").to_numpy().astype(np.int64).tobytes()
+        return pa.table({"dim": rows.column("dim")[:1], "part": rows.column("part")[:1], "ids": [ids], "vectors": [vectors]})
 
     return run
 
 
 class Block:
-    def __init__(self, dim: int, ids: bytes, vectors: bytes):
+    def __init__(self, dim: int, ids: bytes, vectors: bytes, kind: type = np.float64):
         self.ids = np.frombuffer(ids, np.int64)
-        self.exact = np.frombuffer(vectors, np.float64).reshape(-1, dim)
+        self.exact = np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64)
         self.scale = np.abs(self.exact).max(axis=1) / 127
         self.int8 = np.rint(self.exact / self.scale[:, None]).astype(np.int8)
         shown = self.int8 * self.scale[:, None]
@@ -131,40 +150,58 @@ class Heaps:
                     self.floor[x] = self.heaps[x][0][0]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP_K, query_block: int = QUERY_BLOCK, salts: int = SALTS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP_K, query_block: int = QUERY_BLOCK, strip: int = STRIP) -> DataFrame:
     """Rows (query_id, rank from 1, vec_id, score): the k candidates of largest inner product for each query."""
-    wanted = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    asked = wanted(queries).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = "dim int, ids binary, vectors binary"
-    n_blocks = max(1, -(-asked.count() // query_block))
-    q = asked.repartition(n_blocks, F.xxhash64("id")).mapInArrow(_pack(query_block), blocks)
-    q = q.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    c = wanted(vectors).mapInArrow(_pack(CANDIDATE_BLOCK), blocks)
-    c = c.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    tiles = q.join(c, ["dim", "salt"])
+    spark = vectors.sparkSession
+    # single precision travels as it is; products are of doubles all the same
+    single = all(df.schema[vector_col].dataType == T.ArrayType(T.FloatType(), True) for df in (vectors, queries))
+    kind, element = (np.float32, "float") if single else (np.float64, "double")
+    wanted = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    asked, offered = wanted(queries).groupBy("id").agg(F.min("v").alias("v")), wanted(vectors)
+    n_queries, n_offered = wanted(queries).select("id").distinct().count(), offered.count()
+    n_parts = max(1, -(-n_queries // query_block))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_strips = max(1, -(-n_offered // strip), min(-(-tasks // n_parts), -(-n_offered // CANDIDATE_BLOCK)))
+    dealt = asked.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int").alias("part"), "id", "v")
+    q = dealt.groupBy("dim", "part").applyInArrow(_one_block(kind), "dim int, part int, ids binary, vectors binary")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("dim", "part", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), each(n_strips).alias("strip"))
+    c = offered.mapInArrow(_pack(CANDIDATE_BLOCK, kind), "dim int, ids binary, vectors binary")
+    c = c.select("dim", each(n_parts).alias("part"), F.pmod(F.xxhash64("ids"), F.lit(n_strips)).cast("int").alias("strip"), "ids", "vectors")
+    tiles = q.join(c, ["dim", "part", "strip"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, Heaps] = {}
-        last_key, last_block = None, None
+        held, cell = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, q_ids, q_vectors, ids, data = (batch.column(x)[r].as_py() for x in range(5))
-                if q_ids not in held:
-                    held[q_ids] = Heaps(Block(dim, q_ids, q_vectors), k)
-                if last_key != ids:
-                    last_key, last_block = ids, Block(dim, ids, data)
-                held[q_ids].add(last_block)
-        for h in held.values():
-            rows = [(i, [-c for _, c in heap], [s for s, _ in heap]) for i, heap in zip(h.queries.ids.tolist(), h.heaps, strict=True) if heap]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.list_(pa.int64())), pa.array([x[2] for x in rows], pa.list_(pa.float64()))],
-                    names=["query_id", "near", "scores"],
-                )
-
-    found = tiles.select("dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(best, "query_id long, near array<long>, scores array<double>")
+                dim, part, strip, ids, data = (batch.column(x)[r].as_py() for x in (0, 1, 2, 5, 6))
+                if (dim, part, strip) != cell:
+                    if held is not None:
+                        yield from _rows(held, cell[2])
+                    cell, held = (dim, part, strip), Heaps(Block(dim, batch.column(3)[r].as_py(), batch.column(4)[r].as_py(), kind), k)
+                held.add(Block(dim, ids, data, kind))
+        if held is not None:
+            yield from _rows(held, cell[2])
+        held = None
+        trim()
+
+    columns = ["dim", "part", "strip", "q_ids", "q_vectors", "ids", "vectors"]
+    found = tiles.select(columns).mapInArrow(best, "query_id long, strip int, near array<long>, scores array<double>")
     pairs = F.transform(F.arrays_zip("near", "scores"), lambda x: F.struct((-x["scores"]).alias("d"), x["near"].alias("vec_id")))
-    merged = found.select("query_id", pairs.alias("p")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
+    least = F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p")
+    few = F.pmod(F.col("strip"), F.lit(max(1, math.isqrt(n_strips)))).alias("few")
+    merged = found.select("query_id", few, pairs.alias("p")).groupBy("query_id", "few").agg(least).groupBy("query_id").agg(least)
     return merged.select("query_id", F.posexplode("p").alias("pos", "x")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.d")).alias("score")
     )
+
+
+def _rows(held: Heaps, strip: int) -> Iterator[pa.RecordBatch]:
+    """What a cell found for its queries."""
+    rows = [(i, [-c for _, c in heap], [s for s, _ in heap]) for i, heap in zip(held.queries.ids.tolist(), held.heaps, strict=True) if heap]
+    for a in range(0, len(rows), 1024):
+        ids, near, scores = zip(*rows[a : a + 1024], strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array([strip] * len(ids), pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))],
+            names=["query_id", "strip", "near", "scores"],
+        )

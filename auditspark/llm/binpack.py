@@ -3,12 +3,13 @@
 Groups are taken from the heaviest down; each enters the open shard with the least remaining capacity that still
 holds it. Open shards lie in a balanced tree ordered by remaining capacity. Groups of one weight are alike, so the
 packing runs over the histogram of weights: after a group enters the tightest shard that fits, that shard stays the
-tightest, so as many of the weight as fit go there at once. The histogram has at most sqrt(2 x total weight)
-entries, since the distinct weights add up to no more than the total; it and the plan are all the driver sees. Which
-group of a weight goes where follows from its rank among them, counted in Spark from salted partial counts.
+tightest, so as many of the weight as fit go there at once. Weights are rounded up to `DIGITS` binary digits (by less
+than one part in 2,000), so the histogram has at most 2,048 entries for each power of two, below 100,000 at any size; it
+and the plan are all the driver sees. Which group of a weight goes where follows from its rank among them, counted in
+Spark from partial counts over salts, of which there are more the more groups there are.
 
-With a fixed number of shards the capacity is the least (within one part in `PRECISION`) at which all groups fit:
-near-equal bytes. Without it, the number of shards of a given capacity is what is minimised.
+With a fixed number of shards the capacity is the least (within one part in `PRECISION`) at which all rounded groups
+fit: near-equal bytes. Without it, the number of shards of a given capacity is what is minimised.
 
 Cases: a null text counts as empty and shares the group of empty texts; repeated rows of one id are rows of their
 own; a group heavier than an even share sets the capacity; more shards than groups leave shards empty; an empty table
@@ -19,15 +20,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 PRECISION = 1 << 20
-#: Rows that one task numbers within a shard, about.
-ROWS_PER_SLOT_RUN = 20_000
-RANK_SALTS = 64
+DIGITS = 12
+#: Rows or groups that one task numbers in one go, about, and the least number of such runs.
+ROWS_PER_RUN = 20_000
+LEAST_RUNS = 64
 
 
 class CapacityTree:
@@ -146,6 +148,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def rounded(weight: Column) -> Column:
+    """The weight, rounded up to a number of at most DIGITS binary digits and zeros."""
+    unit = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(weight)) - DIGITS)).cast("long")
+    return weight + F.pmod(-weight, unit)
+
+
 def assign_shards(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
@@ -153,7 +161,9 @@ def assign_shards(docs: DataFrame, shards: int | None = 8, capacity: int | None
     """
     spark = docs.sparkSession
     rows = cut(measured(docs, id_col, text_col))
-    groups = cut(rows.groupBy("grp").agg(F.sum("size").alias("weight")))
+    weight = F.col("weight")
+    up = rounded(weight) if capacity is None else F.when(weight <= capacity, F.least(rounded(weight), F.lit(capacity))).otherwise(weight)
+    groups = cut(rows.groupBy("grp").agg(F.sum("size").alias("weight")).withColumn("weight", up))
     histogram = [(r["weight"], r["n"]) for r in groups.groupBy("weight").agg(F.count("*").alias("n")).toLocalIterator()]
     runs = least_capacity(histogram, shards)[1] if capacity is None else pack(histogram, capacity)
     done: dict[int, int] = {}
@@ -164,7 +174,8 @@ def assign_shards(docs: DataFrame, shards: int | None = 8, capacity: int | None
         done[weight] = first + n
     plan_df = spark.createDataFrame(plan, "weight long, first long, stop long, shard int")
 
-    salted = groups.withColumn("salt", F.pmod(F.xxhash64("grp"), F.lit(RANK_SALTS)))
+    salts = max(LEAST_RUNS, math.ceil(sum(n for _, n in histogram) / ROWS_PER_RUN))
+    salted = groups.withColumn("salt", F.pmod(F.xxhash64("grp"), F.lit(salts)))
     counts = salted.groupBy("weight", "salt").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("weight").orderBy("salt")) - F.col("n")).drop("n")
     within = salted.withColumn("at", F.row_number().over(Window.partitionBy("weight", "salt").orderBy("grp")) - 1)
@@ -173,7 +184,7 @@ def assign_shards(docs: DataFrame, shards: int | None = 8, capacity: int | None
 
     sharded = cut(rows.join(placed, "grp").drop("grp"))
     n_rows = sharded.count()
-    parts = max(RANK_SALTS, math.ceil(n_rows / ROWS_PER_SLOT_RUN))
+    parts = max(LEAST_RUNS, math.ceil(n_rows / ROWS_PER_RUN))
     dealt = sharded.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)))
     held = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     offsets = held.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")

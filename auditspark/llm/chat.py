@@ -77,15 +77,14 @@ def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     lines = F.split("text", r"\r?\n")
     level = lambda s: F.when(F.rlike(s, F.lit(_QUOTED)), F.length(F.regexp_replace(F.regexp_extract(s, _MARKS, 1), r"[^>]", ""))).otherwise(0)
     rows = rows.withColumn("lines", F.transform(lines, lambda s: F.struct(level(s).alias("level"), F.regexp_replace(s, _MARKS, "").alias("body"), s.alias("raw"))))
-    passage = "struct<level:int,body:string>"
-    grown = lambda acc, x: F.struct(x["level"].alias("level"), F.concat(F.element_at(acc, -1)["body"], F.lit("\n"), x["body"]).alias("body"))
-    join = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown(acc, x)))
-    ).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["body"].alias("body")))))
-    # messages without a mark, by far the most, skip the fold
+    # a passage begins where the level changes and ends where the next one begins; each line is taken once
+    rows = rows.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (F.get(F.col("lines"), i)["level"] != F.get(F.col("lines"), i - 1)["level"])))
+    stops = lambda k: F.coalesce(F.get(F.col("begins"), k + 1), F.size("lines"))
+    body = lambda i, k: F.array_join(F.transform(F.slice("lines", i + 1, stops(k) - i), lambda x: x["body"]), "\n")
+    passage = lambda i, k: F.struct(F.get(F.col("lines"), i)["level"].alias("level"), F.when(F.get(F.col("lines"), i)["level"] > 0, body(i, k)).alias("body"))
+    # messages without a mark, by far the most, have no passages
     marked = F.exists("lines", lambda x: x["level"] > 0)
-    none = F.array().cast(f"array<{passage}>")
-    groups = F.when(marked, F.aggregate("lines", none, join)).otherwise(none)
+    groups = F.when(marked, F.transform("begins", passage)).otherwise(F.array().cast("array<struct<level:int,body:string>>"))
     following = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["raw"].alias("raw"), F.coalesce(F.get(F.col("lines"), i + 1)["level"], F.lit(0)).alias("next")))
     kept = F.filter(following, lambda x: (x["level"] == 0) & ~((x["next"] > 0) & F.rlike(x["raw"], F.lit(_INTRODUCTION))))
     own = F.when(marked, F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["raw"]), "\n"), r"^\s+|\s+$", "")).otherwise(F.col("text"))

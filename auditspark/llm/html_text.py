@@ -8,7 +8,8 @@ Viterbi. Pages to train on are a parameter; `training_pages` writes labelled pag
 nothing of the pages to be judged is used.
 
 The text is that of main blocks: character references decoded, white space within a block made one space, blocks
-joined by a line feed. Scripts, styles, comments and markup are never blocks. Nothing is cut or capped.
+joined by a line feed. Scripts, styles, comments and markup are never blocks; formulas, drawings and the fallback of
+objects are text of the block they stand in. Nothing is cut or capped.
 
 Cases: a null or empty page, and one without a main block, has the empty text; unclosed and truncated pages are read
 as far as they go; repeated pages give repeated results; an empty table gives an empty table; input columns named
@@ -20,7 +21,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +37,7 @@ BLOCK_TAGS = frozenset(
     "figure figcaption header footer nav aside form fieldset legend address details summary hr hgroup dialog menu select option iframe".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style noscript template title textarea svg math object iframe".split())
+SILENT_TAGS = frozenset("script style template title textarea iframe".split())
 #: Start tags that end open elements of these kinds, within the nearest of the borders.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -69,19 +72,62 @@ _NAME = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
+class Place:
+    """An open element: its tag, and what a block learns from it and its ancestors.
+
+    All of that is sets over fixed names, shared with the parent where nothing is new, so depth costs nothing.
+    """
+
+    __slots__ = ("tag", "seen", "groups", "below", "hidden")
+
+    def __init__(self, tag: str, words: str, up: Place | None):
+        self.tag = tag
+        own = frozenset(k for w in words.split() for k in _groups_of(w))
+        hidden = "!hidden" in words.split()
+        if up is None:
+            self.seen, self.groups, self.below, self.hidden = frozenset(), own, (None, None), hidden
+        else:
+            self.seen, self.groups, self.below, self.hidden = up.seen, up.groups, up.below, up.hidden or hidden
+            if not own <= self.groups:
+                self.groups |= own
+        # what lies below the outermost article and the outermost main
+        if tag in _BELOW and any(x is not None and tag not in x for x in self.below):
+            self.below = tuple(None if x is None else x | {tag} for x in self.below)
+        for i, name in enumerate(("article", "main")):
+            if tag == name and self.below[i] is None:
+                self.below = (frozenset(), self.below[1]) if i == 0 else (self.below[0], frozenset())
+        if tag not in ("html", "body") and tag not in self.seen:
+            self.seen |= {tag}
+
+    def key(self) -> tuple:
+        return self.tag, self.seen, self.groups, self.below, self.hidden
+
+
+_BELOW = frozenset(("header", "footer", "nav", "aside", "form", "section", "ul", "ol", "table"))
+_NOWHERE = ("", frozenset(), frozenset(), (None, None), False)
+
+
+@lru_cache(maxsize=20_000)
+def _groups_of(word: str) -> tuple[str, ...]:
+    return tuple(k for k, p in _GROUP.items() if p.match(word))
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, str], ...]
+    """A block's text, how much of it is linked, and where it stands."""
+
+    place: tuple
     text: str
     linked: int
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The page's blocks that have text, in page order. A path holds (tag, attribute words) of the ancestors."""
+    """The page's blocks that have text, in page order. The work grows with the page's length, whatever its depth."""
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, str]] = []
+    stack: list[Place] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked = anchors = 0
 
@@ -90,11 +136,15 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(stack[-1].key() if stack else _NOWHERE, text, linked))
             parts.clear()
             linked = 0
 
-    at, size, lower = 0, len(page), None
+    def shut(i: int) -> None:
+        open_.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
+    at, size = 0, len(page)
     for m in iter(lambda: _TAG.search(page, at), None):
         if m.start() > at:
             piece = entities.unescape(page[at : m.start()])
@@ -108,20 +158,14 @@ def blocks_of(page: str | None) -> list[Block]:
         if m[1]:  # an end tag closes the nearest element of its name
             if name == "a":
                 anchors = max(0, anchors - 1)
-            elif name in BLOCK_TAGS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        close()
-                        del stack[i:]
-                        break
+            elif open_[name] > 0:
+                close()
+                shut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name))
             continue
         if name in SILENT_TAGS:
             if not m[3].endswith("/"):
-                if lower is None:
-                    lower = page.lower() if len(page.lower()) == size else page
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(page, at)
-                stop = end.start() if end else size
-                tail = page.find(">", stop)
+                tail = page.find(">", end.start()) if end else -1
                 at = size if tail < 0 else tail + 1
             if name == "iframe":
                 close()
@@ -136,45 +180,40 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         close()
         anchors = 0
-        if name in ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        if name in CLOSES:
+        if name in ENDS_P and stack and stack[-1].tag == "p":
+            shut(len(stack) - 1)
+        if name in CLOSES and any(open_[x] > 0 for x in CLOSES[name][0]):
             ends, borders = CLOSES[name]
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in borders:
+                if stack[i].tag in borders:
+                    break
+                if stack[i].tag in ends:
+                    shut(i)
                     break
-                if stack[i][0] in ends:
-                    del stack[i:]
-        if name in VOID_TAGS or m[3].endswith("/") and name == "hr":
+        if name in VOID_TAGS:
             continue
         words = " ".join(w.lower() for a in _ATTRIBUTE.finditer(m[3]) for w in _NAME.findall(a[2] or a[3] or a[4] or ""))
         if m[3] and _HIDDEN.search(m[3]):
             words += " !hidden"
-        stack.append((name, words))
+        stack.append(Place(name, words, stack[-1] if stack else None))
+        open_[name] += 1
     if at < size:
         parts.append(entities.unescape(page[at:]))
     close()
     return out
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    tags = [t for t, _ in path]
-    seen = {t for t in tags if t not in ("html", "body")}
-    out = ["bias", f"parent:{tags[-1] if tags else ''}", *(f"in:{t}" for t in seen)]
-    inner = "article" if "article" in seen else "main" if "main" in seen else ""
+def path_features(place: tuple) -> list[str]:
+    tag, seen, groups, below, hidden = place
+    out = ["bias", f"parent:{tag}", *(f"in:{t}" for t in sorted(seen))]
+    inner, under = ("article", below[0]) if "article" in seen else ("main", below[1]) if "main" in seen else ("", None)
     out.append(f"inner:{inner}")
-    if inner:
-        below = tags[tags.index(inner) + 1 :]
-        out += [f"{inner}>{t}" for t in set(below) if t in ("header", "footer", "nav", "aside", "form", "section", "ul", "ol", "table")]
+    out += [f"{inner}>{t}" for t in sorted(under or ())]
     if "head" in seen:
         out.append("in-head")
-    groups: set[str] = set()
-    for _, words in path:
-        for w in words.split():
-            if w == "!hidden":
-                out.append("hidden")
-            groups.update(k for k, p in _GROUP.items() if p.match(w))
-    out += [f"group:{g}" for g in groups]
+    if hidden:
+        out.append("hidden")
+    out += [f"group:{g}" for g in sorted(groups)]
     if not groups:
         out.append("group:none")
     if groups & {"ad", "nav", "foot", "side", "talk", "notice", "share", "form"}:
@@ -210,11 +249,11 @@ class ChainField:
     def scores(self, blocks: list[Block]) -> np.ndarray:
         out = np.empty((len(blocks), 2))
         for i, b in enumerate(blocks):
-            base = self._paths.get(b.path)
+            base = self._paths.get(b.place)
             if base is None:
                 if len(self._paths) > 20_000:
                     self._paths.clear()
-                base = self._paths[b.path] = self._sum(path_features(b.path))
+                base = self._paths[b.place] = self._sum(path_features(b.place))
             key = " ".join(names := text_features(b))
             own = self._texts.get(key)
             if own is None:
@@ -250,7 +289,7 @@ def train(pages: list[tuple[str, list[int]]], epochs: int = 25, rate: float = 0.
         if len(blocks) != len(labels):
             raise ValueError(f"{len(labels)} labels for {len(blocks)} blocks")
         if blocks:
-            rows = [[features.setdefault(f, len(features)) for f in dict.fromkeys(path_features(b.path) + text_features(b))] for b in blocks]
+            rows = [[features.setdefault(f, len(features)) for f in dict.fromkeys(path_features(b.place) + text_features(b))] for b in blocks]
             flat = np.array([f for r in rows for f in r])
             data.append((flat, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array(labels)))
     params = [np.zeros((len(features), 2)), np.zeros((2, 2)), np.zeros(2)]
@@ -454,7 +493,8 @@ class _Writer:
     def page(self) -> tuple[str, list[int]]:
         rng = self.rng
         maybe = lambda p, f: f() if rng.random() < p else None
-        self.out.append(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
+        self.out.append(self.pick("<!doctype html>", "") + "<html><head>" + self.pick('<meta name="viewport" content="width=device-width">', '<link rel="icon" href="/i.png">'))
+        self.out.append(f"<title>{self.words(2, 8)}</title>" + self.pick("<style>nav li { float: left }</style>", "<script>if (a < b) { go('<div>') }</script>", "") + "</head><body>")
         maybe(0.3, self.notice)
         maybe(0.45, self.site_header)
         maybe(0.7, self.menu)

@@ -2,8 +2,10 @@
 
 A personalised PageRank starts at trusted hosts (those with allowed pages) and follows links; a reversed one starts
 at distrusted hosts (those with blocked pages) and goes against links, since whoever links to bad hosts is suspect.
-Seeds weigh as many as their ruled pages. A host is blocked if distrust is more than `threshold` of its trust and
-distrust together; a host that neither reaches is allowed. Only DataFrame functions are used.
+Both teleport vectors are distributions: a seed weighs its share of all allowed, or of all blocked, pages. A host
+without links gives its score back to them, which scales all scores alike, so it is done once at the end: the scores
+are made distributions too. A host is blocked if distrust is more than `threshold` of its trust and distrust together;
+a host that neither reaches is allowed. Only DataFrame functions are used.
 
 Links are added up by host pair before anything else, so a hub is one row for each neighbour. Each round joins the
 scores with the edges and adds up by host; rounds are checkpointed and end when no host's own trust or distrust moves
@@ -75,13 +77,13 @@ def host_edges(pages: DataFrame, host_col: str = "host", html_col: str = "html")
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, links) and seeds (host, good, bad)."""
+    """(host, trust, distrust), each adding up to 1 (0 without seeds), from edges (src, dst, links) and seeds (host, good, bad)."""
     out = edges.groupBy("src").agg(F.sum("links").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("total"))
     forward = edges.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("links") / F.col("total")).alias("t"), F.lit(0.0).alias("d"))
     back = edges.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("links") / F.col("total")).alias("d"))
     steps = cut(forward.unionByName(back))
-    start = cut(seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust")))
+    start = cut(_shares(seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))))
     scores, rounds = start, 0
     while True:
         moved = scores.join(steps, "host").select(F.col("to").alias("host"), (F.col("trust") * F.col("t") * damping).alias("trust"), (F.col("distrust") * F.col("d") * damping).alias("distrust"))
@@ -93,11 +95,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         done = new.where(moving).isEmpty()
         scores, rounds = new.select("host", "trust", "distrust"), rounds + 1
         if done:
-            return scores
+            return _shares(scores)
         if rounds % 10 == 0:
             release(scores.sparkSession)
 
 
+def _shares(scores: DataFrame) -> DataFrame:
+    """Each score as its share of the total."""
+    totals = scores.agg(F.sum("trust"), F.sum("distrust")).first()
+    return scores.select("host", *[(F.col(c) / F.lit(t or 1.0)).alias(c) for c, t in zip(("trust", "distrust"), totals, strict=True)])
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """Per page: page_id, host, path, rule (text or null), verdict, trust, distrust."""
     seen = pages.select(

@@ -27,7 +27,7 @@ def test_nearest_equals_brute_force(spark):
     rows = [r for i, r in enumerate(rows) if not (i < 400 and r[0] in (20, 40, 60, 80, 100))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", "embedding", "1 AS dim")
     got = defaultdict(list)
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=20, query_block=7, salts=5).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=20, query_block=7, strip=60).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     want = nearest_brute(rows, {i for i, _ in rows if i is not None and i % 20 == 0}, 20)
     assert set(got) == set(want)
@@ -89,4 +89,26 @@ def test_shards(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert set(loads) == set(range(8)) and max(loads.values()) - min(loads.values()) <= 0.02 * sum(loads.values()) / 8
     assert binpack.assign_shards(df.limit(0), 8).collect() == []
+    small = {r.doc_id: r.shard for r in binpack.assign_shards(df, capacity=3000).collect()}
+    loads = Counter()
+    for r in rows:
+        loads[small[r.doc_id]] += r.size
+    assert len(loads) <= 1 + sum(loads.values()) // 2400
+
+
+def test_rounded_weights(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    weights = [*range(1, 9000, 7), *(rng.randrange(1, 1 << 50) for _ in range(500)), (1 << 40) - 1, 1 << 40]
+    df = spark.createDataFrame([(w,) for w in weights], "w long").select("w", binpack.rounded(F.col("w")).alias("r"))
+    for r in df.collect():
+        unit = 1 << max(0, r.w.bit_length() - binpack.DIGITS)
+        assert r.r == -(-r.w // unit) * unit and r.w <= r.r < r.w * (1 + 1 / 2000)
+
+
+def test_a_very_long_text_is_one_group(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000), (2, "y"), (3, "z"), (4, "y")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in binpack.assign_shards(df, 2).collect()}
+    assert rows[1].size == 3_000_001 and rows[2].shard == rows[3].shard == rows[4].shard != rows[1].shard
     assert {r.shard for r in binpack.assign_shards(df.where("doc_id = 3"), 8).collect()} <= set(range(8))
