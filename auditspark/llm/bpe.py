@@ -20,7 +20,6 @@ input columns named like output columns are replaced.
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import unicodedata
@@ -38,7 +37,7 @@ from .common import append_columns, slices, trim, without
 LEAF_CHARS = 32_768
 WORD_SYMBOLS = 256
 #: Entries of a cache, and the characters of the longest entry; a worker holds up to two generations of two caches.
-CACHE_WORDS = 40_000
+CACHE_WORDS = 25_000
 CACHE_CHARS = 48
 #: Texts of code points below this are composed already and pre-tokenised alike in all Unicode versions.
 PLAIN_BELOW = 0x300
@@ -73,18 +72,15 @@ class TreeEncoder:
 
     def __init__(self, path: str, leaf_chars: int = LEAF_CHARS, word_symbols: int = WORD_SYMBOLS):
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.final, self.inner = self.library.model, BPE(vocab, merges)
-        self.ids, self.suffix = vocab, suffix
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # the same merges for symbols that end a pre-token and for those that do not
+        self.final, self.inner = self.library.model, Tokenizer.from_file(path).model
+        self.suffix, self.inner.end_of_word_suffix = self.final.end_of_word_suffix, None
+        self.ids = self.library.get_vocab(with_added_tokens=False)
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.leaf_chars, self.word_symbols = leaf_chars, word_symbols
         self.symbols = _byte_symbols()

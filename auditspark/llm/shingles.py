@@ -15,7 +15,7 @@ import numpy as np
 
 SHINGLE_WORDS = 5
 #: Bytes of text whose sums are held at once (about forty bytes of memory for each), and the longest word summed up.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 LONG_WORD = 1 << 12
 _WHITE = {0x20, *range(0x09, 0x0E)}
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in _WHITE else b for b in range(256))
@@ -46,7 +46,7 @@ def _raised(base: int, p: int) -> np.ndarray:
     out = np.ones(1, np.uint64)
     while len(out) <= AT_ONCE:
         out = np.concatenate((out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)))
-    return out.astype(np.uint32)
+    return out[: AT_ONCE + 1].astype(np.uint32)
 
 
 def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
