@@ -116,9 +116,14 @@ def merge(base: dict, over: dict) -> dict:
     return out
 
 
-def global_file(environ: dict[str, str]) -> Path | None:
+def global_path(environ: dict[str, str]) -> Path:
+    """Where the user's own configuration belongs."""
     base = Path(environ.get("XDG_CONFIG_HOME") or Path(environ.get("HOME", "~")).expanduser() / ".config")
-    for p in (base / "auditspark" / FILE_NAME, Path(environ.get("HOME", "~")).expanduser() / f".{FILE_NAME}"):
+    return base / "auditspark" / FILE_NAME
+
+
+def global_file(environ: dict[str, str]) -> Path | None:
+    for p in (global_path(environ), Path(environ.get("HOME", "~")).expanduser() / f".{FILE_NAME}"):
         if p.is_file():
             return p
     return None

@@ -84,9 +84,9 @@ TEXT_OPENERS = {
     "comment_quality": ("comment:", "docstring:", "documentation:", "unnecessary:", "redundant:", "generic:", "ai-generated:", "boilerplate:"),
 }
 LLM_ERROR_WORDS = (
-    "api key", "authentication", "unauthorized", "invalid_api_key", "permission", "quota", "rate limit", "rate_limit", "too many requests",
-    "timeout", "timed out", "connection", "network", "unavailable", "overloaded", "billing", "insufficient", "model not found", "not found",
-    "401", "403", "429", "500", "503",
+    "api key", "api_key", "apikey", "authentication", "unauthorized", "invalid key", "invalid api", "model not found", "model_not_found",
+    "invalid model", "rate limit", "quota", "billing", "permission denied", "access denied", "connection error", "timeout", "network",
+    "404", "401", "403", "500", "502", "503",
 )
 
 # Our own rules for hard-coded secrets (kind, severity, confidence, pattern).

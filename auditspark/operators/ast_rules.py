@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -229,6 +229,32 @@ def ast_findings(files: DataFrame, audit: bool = True) -> DataFrame:
     return files.where(F.col("ext") == ".py").select("path", "content").mapInPandas(run, SCHEMA)
 
 
+#: What to do about the hits of each rule.
+ADVICE = {
+    "sql_literal": "Keep values out of the statement's text and pass them as parameters.",
+    "sql_concat": "Replace the concatenation by placeholders and pass the values as parameters.",
+    "sql_fstring": "Replace the f-string by a plain string with placeholders and pass the values as parameters.",
+    "sql_format": "Replace format() by placeholders and pass the values as parameters.",
+    "sql_mixed": "The call passes parameters already: use them for the interpolated values too.",
+    "sql_contextual": "The interpolated value stands where a parameter belongs: use a placeholder.",
+    "cursor_interpolation": "Never build the statement of an execute call from values; bind them.",
+    "cursor_missing_params": "The statement has placeholders: pass a sequence of values for them.",
+    "cursor_hard_predicate": "Bind the value of the predicate instead of writing it into the statement.",
+    "star_import": "Import the names that are used.",
+    "deep_relative_import": "Import by the package's full name.",
+    "print_call": "Use logging, or remove the call.",
+    "needless_lambda": "Use operator.attrgetter, itemgetter or the method itself.",
+    "lambda_text": "Use operator.attrgetter, itemgetter or the method itself.",
+    "empty_class": "Remove the empty constructor.",
+    "syntax_error": "Mend the syntax; the file's other checks wait for it.",
+    "parse_failure": "Split or simplify the file so that it can be parsed.",
+}
+
+
+def advice(rule: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv]), rule)
+
+
 def missing_init(files: DataFrame) -> DataFrame:
     """(path): Python files of a directory that has several of them and no __init__.py; an aggregate and a join."""
     python = files.where(F.col("ext") == ".py")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import explode_lines, lines
 
@@ -26,18 +27,25 @@ def line_chunks(files: DataFrame, max_lines: int) -> DataFrame:
 def packed(sizes: Column, limit: Column | int) -> Column:
     """Chunk numbers (from 0) of an array of sizes packed greedily in order; an item is never split.
 
-    A chunk closes when it holds something and the next item would exceed the limit.
+    A chunk closes when it holds something and the next item would exceed the limit. One step for each item: a fold of
+    columns would copy the numbers so far at every step.
     """
-    cap = F.lit(limit) if isinstance(limit, int) else limit
-    zero = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
+    return _pack_numbers(F.transform(sizes, lambda n: n.cast("long")), (F.lit(limit) if isinstance(limit, int) else limit).cast("long"))
 
-    def step(acc, n):
-        over = (acc["held"] > 0) & (acc["held"] + n > cap)
-        chunk = F.when(over, acc["chunk"] + 1).otherwise(acc["chunk"])
-        held = F.when(over, n.cast("long")).otherwise(acc["held"] + n)
-        return F.struct(held.alias("held"), chunk.alias("chunk"), F.concat(acc["out"], F.array(chunk)).alias("out"))
 
-    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _pack_numbers(sizes: pd.Series, limits: pd.Series) -> pd.Series:
+    out = []
+    for items, limit in zip(sizes, limits, strict=True):
+        held = chunk = 0
+        numbers = []
+        for n in items if items is not None else ():
+            if held > 0 and held + n > limit:
+                held, chunk = 0, chunk + 1
+            held += n
+            numbers.append(chunk)
+        out.append(numbers if items is not None else None)
+    return pd.Series(out, dtype=object)
 
 
 def pack_blocks(blocks: DataFrame, max_lines: int) -> DataFrame:
@@ -81,14 +89,19 @@ def blocks(files: DataFrame) -> DataFrame:
 def file_chunks(files: DataFrame, max_lines: int, reach: int = 10) -> DataFrame:
     """(path, chunk, start_line, end_line, content): whole file, packed blocks, or windows where there are no blocks.
 
-    A chunk whose first block is at most `reach` lines below the top of the file begins at line 1.
+    Where the nearest line of code above a chunk's first block is one of the file's first `reach`, the chunk begins at
+    line 1.
     """
     rows = files.withColumn("n", F.size(lines(F.col("content"))))
     small = rows.where(F.col("n") <= max_lines).select("path", F.lit(0).alias("chunk"), F.lit(1).alias("start_line"), F.col("n").alias("end_line"), "content")
     large = rows.where(F.col("n") > max_lines)
     placed = pack_blocks(blocks(large), max_lines).groupBy("path", "chunk").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
-    placed = placed.withColumn("start_line", F.when((F.col("chunk") == 0) & (F.col("start_line") <= reach), 1).otherwise(F.col("start_line")))
     cut = placed.join(large.select("path", lines(F.col("content")).alias("l")), "path")
+    above = F.slice("l", 1, F.col("start_line") - 1)
+    is_code = lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#"))
+    # code within reach, and none between it and the chunk
+    near = F.exists(F.slice(above, 1, reach), is_code) & ~F.exists(F.slice(above, reach + 1, F.greatest(F.size(above) - reach, F.lit(0))), is_code)
+    cut = cut.withColumn("start_line", F.when(near, 1).otherwise(F.col("start_line")))
     cut = cut.select("path", "chunk", "start_line", "end_line", F.array_join(F.slice("l", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("content"))
     bare = large.join(placed.select("path").distinct(), "path", "left_anti")
     return small.unionByName(cut).unionByName(line_chunks(bare, max_lines))
@@ -103,13 +116,13 @@ def stack_files(files: DataFrame, max_lines: int, threshold: float, group: str |
     """
     key = F.col(group) if group else F.col("dir")
     rows = files.withColumn("n", F.size(lines(F.col("content"))))
-    entry = F.struct("path", "name", "n", "content")
-    per = rows.groupBy(key.alias("stack_group")).agg(F.array_sort(F.collect_list(entry)).alias("f"))
+    per = rows.groupBy(key.alias("stack_group")).agg(F.array_sort(F.collect_list(F.struct("path", "n"))).alias("f"))
     limit = int(max_lines * threshold)
-    # a large file counts as one over the limit, so it stands alone
+    # a large file counts as one over the limit, so it stands alone; packing sees sizes only, contents join it after
     numbers = packed(F.transform("f", lambda x: F.when(x["n"] > max_lines, F.lit(limit + 1)).otherwise(F.greatest(x["n"], F.lit(0)))), limit)
-    each = per.select("stack_group", F.explode(F.arrays_zip("f", numbers.alias("s"))).alias("z")).select("stack_group", F.col("z.s").alias("stack"), "z.f.*").where(F.col("n") <= max_lines)
-    stacks = each.groupBy("stack_group", "stack").agg(F.array_sort(F.collect_list(entry)).alias("m"))
+    each = per.select("stack_group", F.explode(F.arrays_zip("f", numbers.alias("s"))).alias("z")).select("stack_group", F.col("z.s").alias("stack"), F.col("z.f.path").alias("path"))
+    members = each.join(rows.where(F.col("n") <= max_lines).select("path", "name", "n", "content"), "path")
+    stacks = members.groupBy("stack_group", "stack").agg(F.array_sort(F.collect_list(F.struct("path", "name", "n", "content"))).alias("m"))
     many = F.size("m") > 1
     part = lambda x: F.concat(F.lit("# === FILE: "), x["name"], F.lit(" ===\n"), x["content"])
     content = F.when(many, F.array_join(F.transform("m", part), "\n\n")).otherwise(F.element_at("m", 1)["content"])

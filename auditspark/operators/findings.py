@@ -10,14 +10,14 @@ from ..schema import EVIDENCE, FINDING, FIX, finding_id, severity_rank
 SQL_CHECKERS = ("sql_injection", "contextual_sqli_audit")
 
 
-def as_findings(hits: DataFrame, checker: Column, title: Column, severity: Column, kind: Column, confidence: Column, line: Column | None = None, snippet: Column | None = None) -> DataFrame:
+def as_findings(hits: DataFrame, checker: Column, title: Column, severity: Column, kind: Column, confidence: Column, line: Column | None = None, snippet: Column | None = None, description: Column | None = None, advice: Column | None = None) -> DataFrame:
     """hits with a path as rows of the findings schema."""
     line = F.col("line") if line is None else line
     null = lambda t: F.lit(None).cast(t)
     evidence = F.array(F.struct(F.lit("rule").alias("type"), title.alias("description"), confidence.cast("double").alias("confidence"), null("string").alias("details")))
-    fixes = F.array(F.struct(F.lit("prompt").alias("type"), F.concat(F.lit("Address: "), title).alias("description"), null("string").alias("prompt"), null("string").alias("auto_fix")))
+    fixes = F.array(F.struct(F.lit("prompt").alias("type"), F.concat(F.lit("Address: "), title).alias("description"), (null("string") if advice is None else advice).alias("prompt"), null("string").alias("auto_fix")))
     return hits.select(
-        finding_id(checker, F.col("path"), line, title).alias("id"), title.alias("title"), title.alias("description"), severity.alias("severity"), kind.alias("type"),
+        finding_id(checker, F.col("path"), line, title).alias("id"), title.alias("title"), (title if description is None else description).alias("description"), severity.alias("severity"), kind.alias("type"),
         F.col("path"), line.cast("int").alias("line_start"), null("int").alias("line_end"), null("int").alias("column_start"), null("int").alias("column_end"),
         checker.alias("checker"), evidence.cast(EVIDENCE).alias("evidence"), fixes.cast(FIX).alias("fixes"),
         (null("string") if snippet is None else snippet).alias("snippet"), null("string").alias("metadata"),

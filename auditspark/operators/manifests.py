@@ -49,7 +49,10 @@ def setup_refs(files: DataFrame) -> DataFrame:
 
 
 def package_json_refs(files: DataFrame) -> DataFrame:
-    """References of package.json (four maps) and package-lock.json (versions of dependencies), from JSON columns."""
+    """References of package.json (four maps) and package-lock.json (versions of dependencies), from JSON columns.
+
+    A file that is no JSON is an error row.
+    """
     text_map = "map<string,string>"
     kinds = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
     plain = files.where(F.col("name") == "package.json").withColumn("j", F.from_json("content", ", ".join(f"{k} {text_map}" for k in kinds)))
@@ -57,7 +60,10 @@ def package_json_refs(files: DataFrame) -> DataFrame:
     a = plain.select("path", "name", F.explode(F.concat(*maps)).alias("e")).select("path", "name", F.col("e.key").alias("package"), F.col("e.value").alias("version"))
     lock = files.where(F.col("name") == "package-lock.json").withColumn("j", F.from_json("content", "dependencies map<string,struct<version:string>>"))
     b = lock.select("path", "name", F.explode("j.dependencies").alias("package", "v")).where("v.version IS NOT NULL").select("path", "name", "package", F.col("v.version").alias("version"))
-    return a.unionByName(b).select("*", F.lit(0).alias("line"), F.lit(None).cast("string").alias("error"))
+    read = a.unionByName(b).select("*", F.lit(0).alias("line"), F.lit(None).cast("string").alias("error"))
+    bad = files.where(F.col("name").isin("package.json", "package-lock.json") & F.try_parse_json("content").isNull())
+    null = F.lit(None).cast("string")
+    return read.unionByName(bad.select("path", "name", null.alias("package"), null.alias("version"), F.lit(1).alias("line"), F.lit("JSONDecodeError").alias("error")))
 
 
 def yarn_refs(files: DataFrame) -> DataFrame:
@@ -123,14 +129,20 @@ def package_refs(files: DataFrame) -> DataFrame:
     return out
 
 
-def invalid_names(refs: DataFrame) -> DataFrame:
+def _valid() -> Column:
     kind = ecosystem(F.col("name"))
-    pattern_fails = F.when(kind == "python", ~F.rlike("package", F.lit(P.PYTHON_NAME))).otherwise(~F.rlike("package", F.lit(P.SCRIPT_NAME)))
-    return refs.where(F.col("package").isNotNull() & pattern_fails)
+    return F.when(kind == "python", F.rlike("package", F.lit(P.PYTHON_NAME))).otherwise(F.rlike("package", F.lit(P.SCRIPT_NAME)))
+
+
+def invalid_names(refs: DataFrame) -> DataFrame:
+    return refs.where(F.col("package").isNotNull() & ~_valid())
 
 
 def unknown_packages(refs: DataFrame, known: DataFrame) -> DataFrame:
-    """References whose package is not among known (ecosystem, package): names are checked once, by an anti join."""
-    rows = refs.where(F.col("package").isNotNull()).withColumn("ecosystem", ecosystem(F.col("name")))
+    """References whose package is not among known (ecosystem, package): names are checked once, by an anti join.
+
+    Names that are none of their ecosystem are left to invalid_names.
+    """
+    rows = refs.where(F.col("package").isNotNull() & _valid()).withColumn("ecosystem", ecosystem(F.col("name")))
     names = rows.select("ecosystem", "package").distinct().join(known, ["ecosystem", "package"], "left_anti")
     return rows.join(names, ["ecosystem", "package"], "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..functions.text import lines
 from ..schema import OTHER_CATEGORY, SEVERITIES, category_dim, confidence, location_text, severity_dim, severity_rank
 
@@ -50,10 +51,16 @@ def with_category(spark: SparkSession, findings: DataFrame) -> DataFrame:
 def ranked(findings: DataFrame, by_file: bool, confidence_col: Column) -> DataFrame:
     """Adds `rank`, the place in a plain report (category, severity, confidence) or one by file (category, path, ...).
 
-    The rank is a global number: report orders are for results that a person reads.
+    Rows are sorted in ranges; a row's rank is its place in its range and the sizes of the ranges before, so no task
+    sees all of them.
     """
     order = [F.col("priority"), F.col("category"), *([F.col("path")] if by_file else []), severity_rank(F.col("severity")).desc(), confidence_col.desc(), F.col("path"), F.col("line_start"), F.col("id")]
-    return findings.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    dealt = durable(findings.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    # one row for each range
+    offsets = dealt.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return numbered.join(F.broadcast(offsets), "__part").withColumn("rank", (F.col("__at") + F.col("__before")).cast("int")).drop("__part", "__at", "__before")
 
 
 def category_rollup(findings: DataFrame) -> DataFrame:

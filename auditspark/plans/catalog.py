@@ -125,7 +125,7 @@ def shortened_text(spark, d):
 
 @query(
     "nearest_line",
-    f"""WITH {corpus.CTE}, fi AS (SELECT ok AS fid, path, CAST(line + ok % 5 - 2 AS INTEGER) AS line, 'cursor' AS key FROM corpus WHERE ok % 4 = 0),
+    f"""WITH {corpus.CTE}, fi AS (SELECT ok AS fid, path, CAST(line + ok % 5 - 2 AS INTEGER) AS line, 'cursor' AS key FROM corpus),
 n AS (SELECT path, max(line) AS n FROM corpus GROUP BY path),
 h AS (SELECT fi.fid, c.line AS probe, row_number() OVER (PARTITION BY fi.fid ORDER BY abs(c.line - fi.line), c.line) AS rn FROM fi JOIN corpus c ON c.path = fi.path AND abs(c.line - fi.line) <= 3 AND contains(c.text, fi.key))
 SELECT fi.path, fi.fid, CAST(coalesce(h.probe, greatest(1, least(fi.line, n.n))) AS INTEGER) AS line FROM fi JOIN n USING (path) LEFT JOIN h ON h.fid = fi.fid AND h.rn = 1""",
@@ -137,7 +137,7 @@ def nearest_line(spark, d):
     # the place of an order in its file, from the file's own sorted keys
     keyed = orders.groupBy("path").agg(F.array_sort(F.collect_list("fid")).alias("k")).select("path", F.posexplode("k").alias("pos", "fid"))
     reported = keyed.join(ranks.select("path", F.col("line")), (keyed["path"] == ranks["path"]) & (F.col("line") == F.col("pos") + 1)).select(keyed["path"], "fid", "line")
-    asked = reported.where("fid % 4 = 0").select("path", "fid", (F.col("line") + F.col("fid") % 5 - 2).cast("int").alias("line"), F.lit("cursor").alias("key"))
+    asked = reported.select("path", "fid", (F.col("line") + F.col("fid") % 5 - 2).cast("int").alias("line"), F.lit("cursor").alias("key"))
     return regex_rules.nearest_lines(asked, files)
 
 
@@ -296,6 +296,47 @@ def ast_lint(spark, d):
     return rows.where("type <> 'security_issue'").select("path", "line", "rule", "severity", "confidence")
 
 
+# A line of the second corpus for each part, by its key; one file for each fortieth of the parts.
+_RULE_LINES = """CASE p_partkey % 9 WHEN 0 THEN 'import sqlite3' WHEN 1 THEN 'from ...pkg import a' WHEN 2 THEN 'cursor.execute("SELECT a FROM t WHERE b = {x}")'
+WHEN 3 THEN 'conn.execute("SELECT a FROM t WHERE b = " + total)' WHEN 4 THEN 'c.execute("SELECT a FROM t".format())' WHEN 5 THEN 'c.execute(f"SELECT a FROM t WHERE b = {q1}", (1,))'
+WHEN 6 THEN 'c.execute("DELETE FROM t WHERE a LIKE {p}")' WHEN 7 THEN 'c.execute("SELECT a FROM t WHERE b = ?")' ELSE 'import a.b as c' END"""
+
+
+@query(
+    "ast_rules",
+    """WITH l AS (SELECT 'g' || CAST(p_partkey % 40 AS VARCHAR) || '.py' AS path, p_partkey AS k, CAST(row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) AS INTEGER) AS line FROM part),
+i AS (SELECT path, bool_or(k % 9 = 0) AS drv FROM l GROUP BY path), t(kind, need, rule, severity, confidence) AS (VALUES (1, false, 'deep_relative_import', 'low', 0.9), (2, true, 'sql_literal', 'medium', 0.7),
+(3, true, 'sql_concat', 'high', 0.9), (3, true, 'cursor_interpolation', 'critical', 0.9), (4, true, 'sql_format', 'high', 0.8), (4, true, 'cursor_interpolation', 'critical', 0.9),
+(5, true, 'sql_fstring', 'medium', 0.8), (5, true, 'sql_mixed', 'high', 0.9), (5, true, 'cursor_interpolation', 'critical', 0.9), (6, true, 'sql_literal', 'medium', 0.7), (6, true, 'sql_contextual', 'high', 0.9),
+(7, true, 'cursor_missing_params', 'high', 0.85))
+SELECT l.path, l.line, t.rule, t.severity, CAST(t.confidence AS DOUBLE) AS confidence FROM l JOIN i USING (path) JOIN t ON t.kind = l.k % 9 AND (i.drv OR NOT t.need)""",
+)
+def ast_rule_lines(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.expr("'g' || CAST(p_partkey % 40 AS STRING) || '.py'").alias("path"), "p_partkey", F.expr(_RULE_LINES).alias("t"))
+    whole = rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "t"))), lambda x: x["t"]), "\n").alias("content"))
+    return ast_rules.ast_findings(S.with_names(whole)).select("path", "line", "rule", "severity", "confidence")
+
+
+def _supplier_files(spark, d, content):
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.expr("'s' || CAST(s_suppkey AS STRING) || '.py'").alias("path"), F.expr(content).alias("content"))
+    return S.with_names(rows)
+
+
+@query("syntax_errors", "SELECT 's' || CAST(s_suppkey AS VARCHAR) || '.py' AS path, CAST(2 AS INTEGER) AS line, 'syntax_error' AS rule, 'high' AS severity FROM supplier")
+def syntax_errors(spark, d):
+    files = _supplier_files(spark, d, "'x = ' || CAST(s_suppkey AS STRING) || '\\ndef f(:\\n    pass'")
+    return ast_rules.ast_findings(files).select("path", "line", "rule", "severity")
+
+
+@query(
+    "text_rules",
+    "SELECT 's' || CAST(s_suppkey AS VARCHAR) || '.py' AS path, CAST(line AS INTEGER) AS line, rule FROM supplier, (VALUES (2, 'empty_class'), (5, 'lambda_text'), (6, 'needless_lambda')) AS r(line, rule)",
+)
+def text_rules(spark, d):
+    files = _supplier_files(spark, d, "'a = 1\\nclass C' || CAST(s_suppkey AS STRING) || ':\\n    def __init__(self):\\n        pass\\nf = lambda x: x\\ng = lambda x: x.y'")
+    return ast_rules.ast_findings(files).select("path", "line", "rule")
+
+
 @query("missing_init", f"{CODE}, p AS (SELECT DISTINCT path, regexp_replace(path, '/[^/]*$', '') AS dir FROM corpus) SELECT path FROM p WHERE dir IN (SELECT dir FROM p GROUP BY dir HAVING count(*) > 1)")
 def missing_init(spark, d):
     return ast_rules.missing_init(corpus.code_files(spark, d))
@@ -312,6 +353,67 @@ def package_refs(spark, d):
     return manifests.package_refs(corpus.requirement_files(spark, d)).select("path", "line", "package", "version")
 
 
+# Manifests of other kinds: a file for each fifth of the suppliers, a reference for each of them.
+_NAMED = "(SELECT s_suppkey AS k, 'd' || CAST(s_suppkey % 5 AS VARCHAR) AS dir, 'pkg' || CAST(s_suppkey AS VARCHAR) AS package FROM supplier)"
+
+
+def _manifest(spark, d, name, head, line, foot, between="\n"):
+    """`line` is an expression over k and package."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.expr("'d' || CAST(s_suppkey % 5 AS STRING)").alias("dir"), F.expr("'pkg' || CAST(s_suppkey AS STRING)").alias("package"))
+    whole = rows.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("k", F.expr(line).alias("t")))).alias("l"))
+    content = F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["t"]), between), F.lit(foot))
+    return S.with_names(whole.select(F.concat("dir", F.lit("/" + name)).alias("path"), content.alias("content")).withColumn("size_bytes", F.octet_length("content").cast("long")))
+
+
+@query("setup_refs", f"SELECT dir || '/setup.py' AS path, package, '>=' || CAST(k AS VARCHAR) AS version FROM {_NAMED} AS n")
+def setup_refs(spark, d):
+    files = _manifest(spark, d, "setup.py", "from setuptools import setup\nsetup(name='x', install_requires=[\n", "'    \\'' || package || '>=' || CAST(k AS STRING) || '\\','", "\n])\n")
+    return manifests.package_refs(files).select("path", "package", "version")
+
+
+@query("package_json_refs", f"SELECT dir || '/package.json' AS path, package, '^' || CAST(k AS VARCHAR) AS version FROM {_NAMED} AS n")
+def package_json_refs(spark, d):
+    files = _manifest(spark, d, "package.json", '{"name": "x", "dependencies": {"left": "1"}, "devDependencies": {', """'"' || package || '": "^' || CAST(k AS STRING) || '"'""", "}}", ", ")
+    return manifests.package_refs(files).where("package <> 'left'").select("path", "package", "version")
+
+
+@query("package_lock_refs", f"SELECT dir || '/package-lock.json' AS path, package, CAST(k AS VARCHAR) || '.0' AS version FROM {_NAMED} AS n")
+def package_lock_refs(spark, d):
+    files = _manifest(spark, d, "package-lock.json", '{"dependencies": {', """'"' || package || '": {"version": "' || CAST(k AS STRING) || '.0", "dev": true}'""", "}}", ", ")
+    return manifests.package_refs(files).select("path", "package", "version")
+
+
+@query("yarn_refs", f"SELECT dir || '/yarn.lock' AS path, package, CAST(k AS VARCHAR) || '.1' AS version, CAST(4 * row_number() OVER (PARTITION BY dir ORDER BY k) - 1 AS INTEGER) AS line FROM {_NAMED} AS n")
+def yarn_refs(spark, d):
+    files = _manifest(spark, d, "yarn.lock", "# yarn lockfile v1\n", """package || '@^' || CAST(k AS STRING) || ':\\n  version "' || CAST(k AS STRING) || '.1"\\n  resolved "x"\\n'""", "\n")
+    return manifests.package_refs(files).select("path", "package", "version", "line")
+
+
+@query("pyproject_refs", f"SELECT dir || '/pyproject.toml' AS path, package, '==' || CAST(k AS VARCHAR) AS version FROM {_NAMED} AS n")
+def pyproject_refs(spark, d):
+    files = _manifest(spark, d, "pyproject.toml", "[project]\ndependencies = [\n", """'  "' || package || '==' || CAST(k AS STRING) || '",'""", "\n]\n")
+    return manifests.package_refs(files).select("path", "package", "version")
+
+
+@query("setup_cfg_refs", f"SELECT dir || '/setup.cfg' AS path, package, '~=' || CAST(k AS VARCHAR) AS version FROM {_NAMED} AS n")
+def setup_cfg_refs(spark, d):
+    files = _manifest(spark, d, "setup.cfg", "[options]\ninstall_requires =\n", "'    ' || package || '~=' || CAST(k AS STRING)", "\n")
+    return manifests.package_refs(files).select("path", "package", "version")
+
+
+@query("pipfile_refs", f"SELECT dir || '/Pipfile' AS path, package, '>' || CAST(k AS VARCHAR) AS version FROM {_NAMED} AS n UNION ALL SELECT dir || '/Pipfile.lock', package, '==' || CAST(k AS VARCHAR) FROM {_NAMED} AS n")
+def pipfile_refs(spark, d):
+    plain = _manifest(spark, d, "Pipfile", "[packages]\n", """package || ' = ">' || CAST(k AS STRING) || '"'""", "\n")
+    lock = _manifest(spark, d, "Pipfile.lock", '{"_meta": {}, "default": {', """'"' || package || '": {"version": "==' || CAST(k AS STRING) || '"}'""", "}}", ", ")
+    return manifests.package_refs(plain.unionByName(lock)).select("path", "package", "version")
+
+
+@query("manifest_errors", f"SELECT dir || '/' || name AS path, error, CAST(1 AS INTEGER) AS line FROM (SELECT DISTINCT dir FROM {_NAMED} AS n) AS x, (VALUES ('package.json', 'JSONDecodeError'), ('pyproject.toml', 'TOMLDecodeError')) AS e(name, error)")
+def manifest_errors(spark, d):
+    bad = _manifest(spark, d, "package.json", '{"dependencies": ', "package", "").unionByName(_manifest(spark, d, "pyproject.toml", "[project\n", "package", ""))
+    return manifests.package_refs(bad).where("error IS NOT NULL").select("path", "error", "line")
+
+
 @query("invalid_names", f"SELECT p_partkey AS k FROM part WHERE NOT regexp_matches(p_name, {_q(P.PYTHON_NAME)})")
 def invalid_names(spark, d):
     refs = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("package"), F.lit("requirements.txt").alias("name"))
@@ -336,6 +438,45 @@ def line_chunks(spark, d):
     return chunking.line_chunks(corpus.code_files(spark, d), 4)
 
 
+# A file of functions of two lines for each customer, below one import.
+_FUNCTIONS = "(SELECT 'c' || CAST(o_custkey AS VARCHAR) || '.py' AS path, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS j, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders)"
+
+
+@query(
+    "block_chunks",
+    f"""WITH f AS {_FUNCTIONS}, c AS (SELECT path, m, CASE WHEN 1 + 2 * m <= 5 OR j < 2 THEN 0 ELSE 1 + (j - 2) // 2 END AS chunk, min(2 + 2 * j) AS s, max(3 + 2 * j) AS e FROM f GROUP BY path, m, CASE WHEN 1 + 2 * m <= 5 OR j < 2 THEN 0 ELSE 1 + (j - 2) // 2 END)
+SELECT path, CAST(chunk AS INTEGER) AS chunk, CAST(CASE WHEN chunk = 0 OR s <= 11 THEN 1 ELSE s END AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line FROM c""",
+)
+def block_chunks(spark, d):
+    text = F.expr("'def f' || CAST(o_orderkey AS STRING) || '(x):\\n    return x'")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.expr("'c' || CAST(o_custkey AS STRING) || '.py'").alias("path"), "o_orderkey", text.alias("t"))
+    whole = rows.groupBy("path").agg(F.concat(F.lit("import os\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))), lambda x: x["t"]), "\n")).alias("content"))
+    return chunking.file_chunks(whole, 5).select("path", "chunk", "start_line", "end_line")
+
+
+@query("fallback_chunks", f"{CODE} SELECT c.path, CAST((c.line - 1) // 4 AS INTEGER) AS chunk, CAST(min(c.line) AS INTEGER) AS start_line, CAST(max(c.line) AS INTEGER) AS end_line FROM corpus c GROUP BY c.path, (c.line - 1) // 4")
+def fallback_chunks(spark, d):
+    broken = corpus.code_files(spark, d).withColumn("content", F.concat(F.lit("(("), "content"))
+    return chunking.file_chunks(broken, 4).select("path", "chunk", "start_line", "end_line")
+
+
+_AROUND = "string_agg(CASE WHEN b.line = a.line THEN '>' ELSE ' ' END || ' ' || lpad(CAST(b.line AS VARCHAR), 3, ' ') || '| ' || b.text, chr(10) ORDER BY b.line)"
+_WIDE = "(contains(a.text, '+') OR contains(a.text, '-') OR contains(a.text, '*') OR contains(a.text, '/') OR contains(a.text, 'open(') OR contains(a.text, 'eval(') OR contains(a.text, 'exec('))"
+
+
+@query(
+    "sized_snippets",
+    f"""{CODE} SELECT a.path, a.line, {_AROUND} FILTER (WHERE b.line BETWEEN a.line - 1 AND a.line + 1) AS total,
+{_AROUND} FILTER (WHERE b.line BETWEEN a.line - CASE WHEN {_WIDE} THEN 2 ELSE 1 END AND a.line + CASE WHEN {_WIDE} THEN 3 ELSE 2 END) AS code,
+{_AROUND} FILTER (WHERE b.line BETWEEN a.line - 1 AND a.line + 2) AS comment, {_AROUND} FILTER (WHERE b.line BETWEEN a.line - 2 AND a.line + 2) AS around
+FROM corpus a JOIN corpus b ON a.path = b.path AND b.line BETWEEN a.line - 3 AND a.line + 3 GROUP BY a.path, a.line, a.text""",
+)
+def sized_snippets(spark, d):
+    files = corpus.code_files(spark, d)
+    rows = X.explode_lines(files).select("path", "line").join(files.select("path", "content"), "path")
+    return rows.select("path", "line", *[X.sized_snippet(k, n)(F.col("content"), F.col("line")).alias(k) for k, n in (("total", 3), ("code", 1), ("comment", 1), ("around", 2))])
+
+
 # blocks of an order: lines as many as a line item's quantity
 _BLOCKS = """b AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS i, CAST(l_quantity AS BIGINT) AS n FROM lineitem)"""
 
@@ -374,11 +515,63 @@ def stack_files(spark, d):
 
 @query(
     "llm_issues",
-    """SELECT CAST(event_id AS BIGINT) AS key, 'E' || CAST(event_id AS VARCHAR) AS title, CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'medium' ELSE 'low' END ELSE 'low' END AS severity,
-CASE WHEN event_id % 2 = 0 THEN 'security_issue' ELSE 'bad_practice' END AS finding_type, CAST(greatest(1, event_id % 30 - 2) AS INTEGER) AS line, CAST(0.7 AS DOUBLE) AS confidence FROM events WHERE event_id % 11 <> 0""",
+    """WITH r AS (SELECT CAST(event_id AS BIGINT) AS key, event_id AS e, event_id % 4 AS c, pos FROM events, (VALUES (0), (1)) AS p(pos) WHERE event_id % 11 <> 0),
+t(c, kind, named, finding_type, other, title, severity, confidence) AS (VALUES (0, 'security', true, 'security_issue', 'bad_practice', 'Potential Issue', 'medium', 0.7), (0, 'performance', false, 'performance_issue', 'bad_practice', 'Potential Issue', 'medium', 0.7),
+(1, 'misleading', true, 'bad_practice', 'style_issue', 'Naming/Style Issue', 'low', 0.7), (1, 'ai_pattern', false, 'ai_generated', 'style_issue', 'Naming/Style Issue', 'low', 0.7),
+(2, 'ai_generated_comment', true, 'ai_generated', 'style_issue', 'Comment/Docstring Quality Issue', 'low', 0.7), (2, 'generic_docstring', false, 'style_issue', 'style_issue', 'Comment/Docstring Quality Issue', 'low', 0.7),
+(3, 'resource_exhaustion', true, 'performance_issue', 'security_issue', 'Dangerous AI/ML Pattern', 'medium', 0.8), (3, 'data_poisoning', false, 'security_issue', 'security_issue', 'Dangerous AI/ML Pattern', 'medium', 0.8))
+SELECT r.key, CASE WHEN pos = 0 THEN 'E' || CAST(e AS VARCHAR) ELSE t.title END AS title, CASE WHEN pos = 0 AND e % 3 = 0 THEN 'high' WHEN pos = 0 AND e % 3 = 2 THEN 'low' ELSE t.severity END AS severity,
+CASE WHEN pos = 0 THEN t.finding_type ELSE t.other END AS finding_type, CAST(CASE WHEN pos = 0 THEN greatest(1, e % 30 - 2) ELSE 1 END AS INTEGER) AS line, CAST(t.confidence AS DOUBLE) AS confidence,
+CASE WHEN pos = 0 THEN 'what is wrong' WHEN r.c = 0 THEN 'LLM detected a potential issue' WHEN r.c = 1 THEN 'LLM detected a naming or style issue' WHEN r.c = 2 THEN 'LLM detected a comment/docstring quality issue' ELSE 'Potential AI/ML security vulnerability detected' END AS description,
+CASE WHEN r.c = 1 THEN CASE WHEN pos = 0 THEN 'Rename ''a'' to ''b''' ELSE 'Review and improve the naming' END WHEN r.c = 2 THEN 'Review this comment for quality' WHEN pos = 0 THEN 'do this' WHEN r.c = 3 THEN 'Review and address this security concern' ELSE 'Review and address this potential issue' END AS advice
+FROM r JOIN t ON t.c = r.c AND t.named = (e % 5 < 3)""",
 )
 def llm_issues(spark, d):
-    return model_calls.issue_findings(model_calls.parse_issues(corpus.responses(spark, d))).select("key", "title", "severity", "finding_type", "line", "confidence")
+    rows = model_calls.issue_findings(model_calls.parse_issues(corpus.responses(spark, d)))
+    return rows.select("key", "title", "severity", "finding_type", "line", "confidence", "description", "advice")
+
+
+@query(
+    "llm_prompts",
+    """SELECT CAST(doc_id AS VARCHAR) AS key, sha256('Look for names that say nothing or mislead, and naming that breaks the file''s own conventions. Kinds: naming, style, convention. Lines are numbered. Answer with JSON of this form only: {"issues": [{"type": "...", "title": "...", "description": "...", "severity": "low|medium|high|critical", "line_number": 1, "confidence": 0.8, "suggestion": "..."}]}'
+|| chr(10) || 'File: ' || source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' || chr(10) || text) AS prompt_sha, sha256('Look for names that say nothing or mislead, and naming that breaks the file''s own conventions. Kinds: naming, style, convention. Lines are numbered. Answer with JSON of this form only: {"issues": [{"type": "...", "title": "...", "description": "...", "severity": "low|medium|high|critical", "line_number": 1, "confidence": 0.8, "suggestion": "...", "file": "name.py"}]}'
+|| chr(10) || 'Several files follow, each under its own header.' || chr(10) || text) AS stacked_sha FROM documents""",
+)
+def llm_prompts(spark, d):
+    rows, ask = _docs(spark, d), model_calls.prompt_for
+    path, content = F.col("path"), F.col("content")
+    return rows.select(
+        F.regexp_extract("name", r"^(\d+)", 1).alias("key"), F.sha2(ask("vibe_naming", path, content), 256).alias("prompt_sha"),
+        F.sha2(ask("vibe_naming", F.lit(""), content, stacked=True), 256).alias("stacked_sha"),
+    )
+
+
+@query(
+    "llm_second_opinions",
+    """SELECT CAST(event_id AS BIGINT) AS key, CAST(event_id % 50 AS INTEGER) AS line, 'LLM-detected SQL injection: ' || CASE WHEN event_id % 2 = 0 THEN 'contextual_sqli' ELSE 'sql_injection' END AS title,
+CASE event_id % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 'bind ' || event_type AS advice FROM events WHERE event_id % 7 <> 0""",
+)
+def llm_second_opinions(spark, d):
+    answer = F.expr("""CASE WHEN event_id % 7 = 0 THEN 'I see none' ELSE 'Here: {"vulnerabilities": [{"line": ' || CAST(event_id % 50 AS STRING) || CASE WHEN event_id % 2 = 0 THEN ', "type": "contextual_sqli"' ELSE '' END
+|| ', "severity": "' || CASE event_id % 3 WHEN 0 THEN 'Critical' WHEN 1 THEN 'odd' ELSE 'low' END || '", "recommendation": "bind ' || event_type || '"}], "overall_assessment": "x"} Regards' END""")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("long").alias("key"), answer.alias("response"))
+    return model_calls.second_opinions(rows).select("key", "line", "title", "severity", "advice")
+
+
+_MESSAGES = ("HTTP 404", "Invalid API key given", "model_not_found", "Rate limit reached", "disk is full", "Permission denied", "status 429", "access denied", "apikey missing", "no such file", "502 Bad Gateway", "Connection error.", "not found", "socket unavailable")
+_MESSAGE = "CASE o_orderkey % 14 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MESSAGES)) + " END"
+
+
+@query("llm_error_words", f"SELECT CAST(o_orderkey AS BIGINT) AS k, o_orderkey % 14 NOT IN (4, 6, 9, 12, 13) AS is_llm_error FROM orders")
+def llm_error_words(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"), F.expr(_MESSAGE).alias("error"))
+    return found.errors(rows).select("k", "is_llm_error")
+
+
+@query("provider_keys", "SELECT CAST(c_custkey AS BIGINT) AS k, c_custkey % 6 NOT IN (0, 3) AS usable FROM customer")
+def provider_keys(spark, d):
+    key = F.expr("CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'sk-' || c_name WHEN 2 THEN 'AIza' || c_name WHEN 3 THEN 'your-openai-api-key-here' WHEN 4 THEN 'my own example key' ELSE 'xxx-your-' || c_name END")
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"), model_calls.key_is_usable(key).alias("usable"))
 
 
 @query("llm_stub_calls", "SELECT CAST(doc_id AS VARCHAR) AS key, 'ok' AS response FROM documents")
@@ -449,10 +642,9 @@ def filter_findings(spark, d):
     return report.select(corpus.findings(spark, d), severity="high", checker="edge_cases").select("fid")
 
 
-@query("triage", f"WITH {corpus.FINDING_CTE}, s(severity) AS (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) SELECT s.severity, count(f.fid) AS n FROM s LEFT JOIN f ON f.severity = s.severity AND f.checker = 'boilerplate' AND f.line = 0 AND f.path = 'f3.py' GROUP BY s.severity")
+@query("triage", f"WITH {corpus.FINDING_CTE}, s(severity) AS (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) SELECT s.severity, count(f.fid) AS n FROM s LEFT JOIN f ON f.severity = s.severity GROUP BY s.severity")
 def triage(spark, d):
-    rows = corpus.findings(spark, d).where("checker = 'boilerplate' AND line = 0 AND path = 'f3.py'")
-    return report.triage(spark, rows).select("severity", "n")
+    return report.triage(spark, corpus.findings(spark, d)).select("severity", "n")
 
 
 @query("recommendations", f"WITH {corpus.FINDING_CTE}, m AS (SELECT count(*) FILTER (WHERE type = 'security_issue') AS s, count(*) FILTER (WHERE type = 'performance_issue') AS p, count(*) FILTER (WHERE type = 'bad_practice') AS b, count(*) AS n FROM f) SELECT 'security' AS topic FROM m WHERE s > 0 UNION ALL SELECT 'performance' FROM m WHERE p > 0 UNION ALL SELECT 'practices' FROM m WHERE b > 0.2 * n")
@@ -491,7 +683,7 @@ def severity_pivot(spark, d):
 
 def _as_findings(spark, d):
     rows = corpus.findings(spark, d)
-    return found.as_findings(rows, F.col("checker"), F.col("title"), F.col("severity"), F.col("type"), F.col("confidence"), snippet=F.concat(F.lit("code of "), "title"))
+    return found.as_findings(rows, F.col("checker"), F.col("title"), F.col("severity"), F.col("type"), F.col("confidence"), snippet=F.concat(F.lit("code of "), "title", F.when(F.col("fid") % 3 == 0, F.repeat(F.lit("\nx"), F.lit(19))).otherwise(F.lit(""))))
 
 
 @query("findings_json", f"""WITH {corpus.FINDING_CTE} SELECT title, path, checker AS checker_name, CAST(line AS VARCHAR) AS line_start, confidence FROM f""")
@@ -501,7 +693,7 @@ def findings_json(spark, d):
     return rows.select(get("$.title").alias("title"), get("$.location.file").alias("path"), get("$.checker_name").alias("checker_name"), get("$.location.line_start").alias("line_start"), get("$.confidence").cast("double").alias("confidence"))
 
 
-@query("plain_lines", f"WITH {corpus.FINDING_CTE} SELECT fid, '[' || upper(severity) || '] ' || title || ' - ' || path || CASE WHEN line > 0 THEN ':line ' || CAST(line AS VARCHAR) ELSE '' END || chr(10) || 'code of ' || title AS rendered FROM f")
+@query("plain_lines", f"WITH {corpus.FINDING_CTE} SELECT fid, '[' || upper(severity) || '] ' || title || ' - ' || path || CASE WHEN line > 0 THEN ':line ' || CAST(line AS VARCHAR) ELSE '' END || chr(10) || 'code of ' || title || CASE WHEN fid % 3 = 0 THEN repeat(chr(10) || 'x', 13) || chr(10) || '...' ELSE '' END AS rendered FROM f")
 def plain_lines(spark, d):
     rows = report.plain_line(_as_findings(spark, d))
     return rows.select(F.substring("title", 2, 20).cast("long").alias("fid"), "rendered")

@@ -60,7 +60,7 @@ def requirement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Findings without a parser: one for each order, spread over checkers, severities and places.
-FINDING = """SELECT CAST(o_orderkey AS BIGINT) AS fid, 'f' || CAST(o_custkey % 50 AS STRING) || '.py' AS path, CAST(o_orderkey % 9 AS INTEGER) AS line,
+FINDING = """SELECT CAST(o_orderkey AS BIGINT) AS fid, 'f' || CAST(o_custkey AS STRING) || '.py' AS path, CAST(o_orderkey % 9 AS INTEGER) AS line,
 CASE o_orderkey % 5 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'contextual_sqli_audit' WHEN 2 THEN 'boilerplate' WHEN 3 THEN 'edge_cases' ELSE 'custom_rule' END AS checker,
 CASE o_custkey % 5 WHEN 0 THEN 'info' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS severity,
 CASE o_orderkey % 3 WHEN 0 THEN 'security_issue' WHEN 1 THEN 'bad_practice' ELSE 'ai_generated' END AS type,
@@ -74,13 +74,15 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FINDING_CTE = f"f AS ({FINDING} FROM orders)"
 
-#: Responses of a model, one for each event; some fenced, some cut off.
+#: Responses of a model, one for each event; some fenced, some no JSON. The second issue of each leaves all but its type out.
 RESPONSE = """CASE WHEN event_id % 11 = 0 THEN 'no json here'
-ELSE CASE WHEN event_id % 3 = 0 THEN '```json' || chr(10) ELSE '' END || '{"issues":[{"type":"' || CASE WHEN event_id % 2 = 0 THEN 'security' ELSE 'null_check' END || '","title":"E' || CAST(event_id AS STRING)
-|| '","severity":"' || CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'odd' ELSE 'low' END || '","line_number":' || CAST(event_id % 30 - 2 AS STRING) || '},{"type":"x"}]}'
+ELSE CASE WHEN event_id % 3 = 0 THEN '```json' || chr(10) ELSE '' END || '{"issues":[{"type":"' || CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 5 < 3 THEN 'security' ELSE 'performance' END
+WHEN 1 THEN CASE WHEN event_id % 5 < 3 THEN 'misleading' ELSE 'ai_pattern' END WHEN 2 THEN CASE WHEN event_id % 5 < 3 THEN 'ai_generated_comment' ELSE 'generic_docstring' END
+ELSE CASE WHEN event_id % 5 < 3 THEN 'resource_exhaustion' ELSE 'data_poisoning' END END || '","title":"E' || CAST(event_id AS STRING)
+|| '","severity":"' || CASE event_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'odd' ELSE 'low' END || '","description":"what is wrong","suggestion":"do this","current_name":"a","suggested_name":"b","line_number":' || CAST(event_id % 30 - 2 AS STRING) || '},{"type":"x"}]}'
 || CASE WHEN event_id % 3 = 0 THEN chr(10) || '```' ELSE '' END END"""
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select(F.col("event_id").cast("long").alias("key"), F.expr("CASE WHEN event_id % 2 = 0 THEN 'edge_cases' ELSE 'vibe_naming' END").alias("checker"), F.expr(RESPONSE).alias("response"))
+    return events.select(F.col("event_id").cast("long").alias("key"), F.expr("element_at(array('edge_cases', 'vibe_naming', 'comment_quality', 'dangerous_ai_logic'), CAST(event_id % 4 AS INT) + 1)").alias("checker"), F.expr(RESPONSE).alias("response"))

@@ -70,13 +70,18 @@ def decode_lenient(content: pd.Series) -> pd.Series:
 def read_files(spark: SparkSession, root: str, include: Sequence[str], exclude: Sequence[str], max_file_size: int, max_files: int | None = None) -> DataFrame:
     """The files below a directory (or one file) as path, name, ext, dir, size_bytes, content.
 
-    Size reaches the scan as a filter; bytes are decoded only for chosen files.
+    Size reaches the scan as a filter; bytes are decoded only for chosen files. With a limit the paths are chosen first,
+    from the listing alone: at most `max_files` of them, which then prune what is read.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    raw = raw.where(F.col("length") <= max_file_size)
-    files = raw.select(F.regexp_replace("path", "^file:(?://)?", "").alias("path"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"))
-    chosen = select_files(files, include, exclude, max_file_size, max_files)
-    return with_names(chosen.withColumn("content", decode_lenient("raw")).drop("raw"))
+    raw = raw.where(F.col("length") <= max_file_size).withColumn("url", F.col("_metadata.file_path"))
+    named = raw.select(F.regexp_replace("path", "^file:(?://)?", "").alias("path"), F.col("length").alias("size_bytes"), "content", "url")
+    chosen = select_files(named.drop("content"), include, exclude, max_file_size, max_files)
+    if max_files is None:
+        kept = select_files(named, include, exclude, max_file_size)
+    else:
+        kept = named.where(F.col("url").isin([r.url for r in chosen.select("url").collect()]))
+    return with_names(kept.drop("url").withColumn("content", decode_lenient("content")))
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
