@@ -25,7 +25,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,9 +76,8 @@ class TreeEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        # the same merges for symbols that end a pre-token and for those that do not
-        self.final, self.inner = self.library.model, Tokenizer.from_file(path).model
-        self.suffix, self.inner.end_of_word_suffix = self.final.end_of_word_suffix, None
+        self.path, self.final = path, self.library.model
+        self.suffix = self.final.end_of_word_suffix
         self.ids = self.library.get_vocab(with_added_tokens=False)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
@@ -96,6 +95,21 @@ class TreeEncoder:
         self.words = _Cache(self._word)
         self.stretches = _Cache(self._stretch)
 
+    @cached_property
+    def inner(self):
+        """The same merges for symbols that do not end a pre-token; only long ones need them."""
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path).model
+        model.end_of_word_suffix = None
+        return model
+
+    def rest(self) -> None:
+        """Forget what was cached: workers outlive tasks."""
+        for cache in (self.words, self.stretches):
+            cache.clear()
+            cache.old = {}
+
     # -- one pre-token ------------------------------------------------------------------------------------------
 
     def _merge(self, symbols: str, final: bool) -> list[str]:
@@ -287,6 +301,12 @@ def _pack(ids) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str, leaf_chars: int) -> TreeEncoder:
+    """One encoder for each worker process, whatever number of tasks it runs."""
+    return TreeEncoder(path, leaf_chars)
+
+
 FIELDS = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids", T.BinaryType()),
@@ -314,12 +334,13 @@ def encode_documents(
     long_text = F.coalesce(F.length(text_col) > leaf_chars, F.lit(False))
 
     def make():
-        encoder = TreeEncoder(path, leaf_chars)
+        encoder = shared_encoder(path, leaf_chars)
 
         def apply(texts):
             both = [encoder.encode(t) for t in texts]
             return [[len(b) // 4 for b, _ in both], [b for b, _ in both], [d for _, d in both]]
 
+        apply.done = encoder.rest
         return apply
 
     short = append_columns(docs.where(~long_text), text_col, make, FIELDS)
@@ -391,7 +412,7 @@ def _encode_leaves(leaves: DataFrame, path: str, leaf_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or TreeEncoder(path, leaf_chars)
+            encoder = encoder or shared_encoder(path, leaf_chars)
             for part, texts in slices(batch, "text"):
                 nodes = [encoder.leaf(t) for t in texts]
                 new = [
@@ -402,7 +423,8 @@ def _encode_leaves(leaves: DataFrame, path: str, leaf_chars: int) -> DataFrame:
                     _packed_runs([x.tail for x in nodes]),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *[f.name for f in added]])
-        encoder = None
+        if encoder:
+            encoder.rest()
         trim()
 
     return leaves.mapInArrow(run, T.StructType([*leaves.schema.fields, *added]))
@@ -421,7 +443,7 @@ def _joiner(path: str, leaf_chars: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, nodes, texts, row, wanted = None, [], [], None, 0
         for batch in batches:
-            encoder = encoder or TreeEncoder(path, leaf_chars)
+            encoder = encoder or shared_encoder(path, leaf_chars)
             for i in range(batch.num_rows):
                 if batch.column("leaf")[i].as_py() != len(nodes):
                     raise ValueError("a document's leaves are not complete")
@@ -445,7 +467,8 @@ def _joiner(path: str, leaf_chars: int):
                     nodes, texts, row = [], [], None
         if nodes:
             raise ValueError("a document's leaves are not complete")
-        encoder = None
+        if encoder:
+            encoder.rest()
         trim()
 
     return join

@@ -69,7 +69,7 @@ def append_columns(
     """Add columns computed in Arrow batches from one text column, keeping all others.
 
     `make` runs once per task and returns a function from a list of texts (None for null) to one list of
-    values per new field; what it holds goes with the task. Existing columns with the names of new fields are replaced.
+    values per new field; what it holds goes with the task, and its `done`, if it has one, is called at the end. Existing columns with the names of new fields are replaced.
     """
     out = T.StructType([*without(df, [f.name for f in fields]).schema.fields, *fields])
     source = df
@@ -88,6 +88,7 @@ def append_columns(
                     [*part.columns, *new], schema=pa.schema([*part.schema, *added])
                 )
                 del new
+        getattr(apply, "done", lambda: None)()
         apply = None
         trim()
 

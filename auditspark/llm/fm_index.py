@@ -33,6 +33,8 @@ from .common import slices, small_batches, trim, without
 WINDOW = 10
 SAMPLE = 8
 BLOCK_BYTES = 4 << 20
+#: Text that one index covers, about: an index takes some fifty bytes of memory for each.
+SHARD_BYTES = 1 << 20
 _WORD_BYTES = bytes(b for b in range(256) if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
 #: Lower-cases A-Z, keeps word bytes, and turns all others into spaces.
 _TABLE = bytes((c if (c := b + 32 if 0x41 <= b <= 0x5A else b) in _WORD_BYTES else 0x20) for b in range(256))
@@ -51,7 +53,7 @@ class WaveletTree:
         cur = seq
         for k in range(levels - 1, -1, -1):
             bit = (cur >> k) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))))
+            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
             self.zeros.append(len(cur) - int(bit.sum()))
             cur = np.concatenate((cur[bit == 0], cur[bit == 1]))
 
@@ -277,7 +279,7 @@ def find_contamination(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = opened(blocks[0])
         for batch in batches:
-            parts = list(slices(batch, text_col))
+            parts = list(slices(batch, text_col, SHARD_BYTES))
             found: list[list[tuple]] = []
             for k, block in enumerate(blocks):
                 if len(blocks) > 1:

@@ -147,7 +147,8 @@ def _matched(rows: DataFrame, classes: DataFrame, extra: list[str]) -> DataFrame
     """(key, s, ...) of the rows (id, ka, kb, s) that stand for their class, those of its smallest id."""
     wanted = classes.select("key", F.col("ka").alias("wa"), F.col("kb").alias("wb"), F.col("id").alias("first"), *extra)
     same = (rows["ka"] == wanted["wa"]) & (rows["kb"] == wanted["wb"]) & rows["id"].eqNullSafe(wanted["first"])
-    return rows.join(wanted, same).select("key", "s", *extra)
+    # in a shuffle however few they are: what follows runs Python too, and a task should have one worker
+    return rows.join(wanted.hint("merge"), same).select("key", "s", *extra)
 
 
 def _hashed(rows: DataFrame, words: int, t: int, share: float | None) -> DataFrame:
