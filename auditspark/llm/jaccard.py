@@ -429,18 +429,20 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, threshold: int,
     classes = summary.where("n > 0").groupBy("ka", "kb").agg(first)
     # numbers that no two classes share; they hold once they are written
     classes = cut(classes.select(F.monotonically_increasing_id().alias("key"), "ka", "kb", "s.z", "s.id", "s.sha", "s.n", "s.mins", "s.bits"))
-    rows = summary.select("id", "n", "ka", "kb", "sha")
-    bare = classes.select("key", "ka", "kb", F.struct("z", "id", "sha").alias("first"))
+    # signatures are needed for some steps only; what stays to the end goes without them
+    rows, thin = cut(summary.select("id", "n", "ka", "kb", "sha")), cut(classes.select("key", "ka", "kb", "z", "id", "sha"))
+    del summary
+    bare = thin.select("key", "ka", "kb", F.struct("z", "id", "sha").alias("first"))
     if threshold >= 100:  # only equal sets link
         return rows, bare.withColumn("component", F.col("key"))
 
-    where = (docs, classes, id_col, text_col, words, threshold)
+    where = (docs, thin, id_col, text_col, words, threshold)
     links = [cut(_verified(cut(_may_link(_centre_pairs(classes), classes, threshold)), *where))]
     release(spark)
     grouped = components(links[0])
     side = classes.select("key", "ka", "kb", "id", "n", "bits")
     labelled = cut(side.join(grouped.withColumnRenamed("v", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-    del grouped
+    del grouped, side, classes
     release(spark)
 
     active, found = labelled.drop("bits"), []
