@@ -47,8 +47,8 @@ LIST_COMPONENTS = 32
 LIST_PAIRS = 64
 #: Shares of n by which m grows from round to round.
 ROUNDS = (0.0, 0.25, 0.75)
-POSTINGS_PER_BUCKET = 300_000
-FLUSH = 300_000
+POSTINGS_PER_BUCKET = 500_000
+FLUSH = 1_000_000
 BLOCK_BYTES = 1 << 20
 #: Ids of texts to verify are broadcast up to so many (16 bytes each), else they meet the texts in a shuffle.
 BROADCAST_ROWS = 50_000
@@ -334,7 +334,7 @@ def _expand(t: int):
 
     def trimmed(rows: pa.Table) -> pa.Table:
         out = run(rows)
-        trim()
+        trim(cycles=False)
         return out
 
     return trimmed

@@ -46,7 +46,7 @@ def _raised(base: int, p: int) -> np.ndarray:
     out = np.ones(1, np.uint64)
     while len(out) <= AT_ONCE:
         out = np.concatenate((out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)))
-    return out[: AT_ONCE + 1].astype(np.uint32)
+    return out[: AT_ONCE + 1]
 
 
 def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
